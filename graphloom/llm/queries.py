@@ -6,8 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
-from .common import table
+from . import classifier, decontaminate, minhash, sentencepiece_stream, token_store
+from .common import table, work_path
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_stream.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, vocabulary = work_path(spark, "tokens"), tokenizer_file("word_bpe_49k.json")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, lambda: token_store.WordEncoder(vocabulary))
+    return token_store.read_store(spark, path)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +40,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_minhash": op9_minhash}
+    return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op3_decontamination": op3_decontamination,
+        "op6_token_store": op6_token_store,
+        "op7_quality_classifier": op7_quality_classifier,
+        "op9_minhash": op9_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
