@@ -1,9 +1,11 @@
 """MinHash near-duplicate detection with odd sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. 128 MinHash samples of the set give band keys, and,
-folded by parity into a 512-bit map (an odd sketch), a cheap test of a candidate pair: every sample in which two sets
-differ flips at most two bits of the XOR of their maps, so a population count above twice a bound on the differing
-samples rules the pair out. Pairs that pass are compared on their full sets.
+A document's set is its distinct word shingles, as 64-bit hashes. 128 MinHash samples of the set give band keys, and its
+bottom-1024 MinHash sample, folded by parity into a 1024-bit map (an odd sketch), tests candidate pairs: each element in
+which two samples differ flips one bit of the XOR of their maps, so the population count never exceeds the samples'
+symmetric difference. For sets of up to 1024 shingles the sample is the set, and a count above the largest difference that
+the threshold allows rules a pair out for certain; for larger sets six standard deviations are added. Pairs that pass are
+compared on their full sets.
 
 Work stays linear in skewed groups:
 
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLES = 128
-SKETCH_BITS = 512
+#: Elements of the bottom MinHash sample that is folded into the odd sketch, and the sketch's bits.
+BOTTOM = 1024
+SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
 #: Entries that a worker's word cache holds before it is emptied.
 CACHE_WORDS = 500_000
@@ -86,9 +90,9 @@ def minhashes(elements: np.ndarray) -> np.ndarray:
     return best
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the (index, sample) pairs as eight signed 64-bit words."""
-    at = (_mix(samples ^ _SEEDS) >> np.uint64(64 - int(math.log2(SKETCH_BITS)))).astype(np.int64)
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the BOTTOM smallest of the sorted elements, as signed 64-bit words."""
+    at = (elements[:BOTTOM] & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
     bits = (np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(bits).view(np.int64)
 
@@ -102,16 +106,6 @@ def bands_for(threshold: float) -> tuple[int, int]:
     return 1, SAMPLES
 
 
-def differing_bound(threshold: float, miss: float = 1e-7) -> int:
-    """The smallest d such that a pair at the threshold differs in more than d samples with probability below ``miss``."""
-    p, total = 1 - threshold, 0.0
-    for d in range(SAMPLES, -1, -1):
-        total += math.comb(SAMPLES, d) * p**d * (1 - p) ** (SAMPLES - d)
-        if total >= miss:
-            return d
-    return 0
-
-
 _SIGNATURE = (
     "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
 )
@@ -143,7 +137,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
                     for r in range(rows):
                         acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + block[:, r])
                     keys.append(acc.view(np.int64).tolist())
-                    sketches.append(odd_sketch(m).tolist())
+                    sketches.append(odd_sketch(s).tolist())
                 columns = [ids.slice(start, 512), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 columns += [pa.array([x[i] for x in sketches], pa.int64()) for i in range(WORDS)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "keys", *(f"s{i}" for i in range(WORDS))])
@@ -169,6 +163,17 @@ def _distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(WORDS)))
 
 
+def _allowed(a: str, b: str, percent: int) -> Column:
+    """The largest distance of the sketches of two sets (sizes in column n) that may reach the threshold; -1 if sizes rule it out."""
+    p, q = F.col(f"{a}.n"), F.col(f"{b}.n")
+    common = F.ceil(percent * (p + q) / (100 + percent))
+    kept, other = F.least(p, F.lit(BOTTOM)), F.least(q, F.lit(BOTTOM))
+    differing = kept + other - 2 * common * F.least(kept / p, other / q)
+    loose = differing + 6 * F.sqrt(2 * differing) + 10
+    sampled = SKETCH_BITS / 2 * (1 - F.exp(-2 * loose / SKETCH_BITS)) + 3 * math.sqrt(SKETCH_BITS)
+    return F.when(common > F.least(p, q), -1.0).when(F.greatest(p, q) <= BOTTOM, differing).otherwise(sampled)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the (a, b) edges; the component is its smallest node.
 
@@ -212,7 +217,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """
     threshold = percent / 100
     rows, bands = bands_for(threshold)
-    limit = 2 * differing_bound(threshold)
     sig = materialise(signatures(docs, shingle, rows, bands), "signatures")
     usable = sig.where("n_shingles > 0 and doc_id is not null")
 
@@ -220,7 +224,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = materialise(usable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2").distinct(), "classes")
     own = usable.join(member.where("doc_id = rep").select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    sketch_columns = [f"s{i}" for i in range(WORDS)]
+    sketch_columns = [F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(WORDS))]
 
     # Buckets with two members or more; the smallest member is the hub.
     entries = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
@@ -235,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     near = (
         buckets.where("rep <> hub").select("rep", "hub").distinct().alias("p")
         .join(sketches.alias("x"), F.expr("p.rep = x.doc_id")).join(sketches.alias("y"), F.expr("p.hub = y.doc_id"))
-        .select("p.rep", "p.hub", _distance("x", "y").alias("distance")).where(F.col("distance") <= limit)
+        .select("p.rep", "p.hub", _distance("x", "y").alias("distance"), _allowed("x", "y", percent).alias("allowed")).where("distance <= allowed")
         .groupBy("rep").agg(F.min(F.struct("distance", "hub")).alias("best"))
         .select(F.col("rep").alias("a"), F.col("best.hub").alias("b"))
     )
@@ -252,7 +256,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     apart = materialise(named.join(main, "key").join(sketches.withColumnRenamed("doc_id", "rep"), "rep"), "apart")
     pairs = (
         apart.where("c <> main").alias("x")
-        .join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c <> y.c and (y.c = y.main or x.rep < y.rep)") & (_distance("x", "y") <= limit))
+        .join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c <> y.c and (y.c = y.main or x.rep < y.rep)") & (_distance("x", "y") <= _allowed("x", "y", percent)))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
     late = _verified(pairs, sets, percent)
