@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, minhash, sentencepiece_stream, token_store
-from .common import table, work_path
+from . import chat, classifier, decontaminate, minhash, sentencepiece_stream, token_store, warc
+from .common import materialise, table, work_path
 
 
 def tokenizer_file(name: str) -> str:
@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(spark, path)
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, vocabulary = work_path(spark, "tokens"), tokenizer_file("word_bpe_49k.json")
     token_store.write_store(table(spark, sf_dir, "documents"), path, lambda: token_store.WordEncoder(vocabulary))
@@ -35,6 +41,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.digests(materialise(chat.format_conversations(turns), "chat"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -43,11 +56,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op3_decontamination": op3_decontamination,
+        "op5_warc": op5_warc,
         "op6_token_store": op6_token_store,
         "op7_quality_classifier": op7_quality_classifier,
+        "op8_chat": op8_chat,
         "op9_minhash": op9_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": warc.RECORDS_SQL, "op8_chat": chat.DIGESTS_SQL}
