@@ -397,3 +397,17 @@ def extract_pages(pages_: DataFrame, weights: Weights | None = None) -> DataFram
 
     rows = pages_.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+#: The rows of ``extract_pages`` over pages of the given form, whose content is their only article and which use no other
+#: character references there than those below, for DuckDB.
+GIVEN_PAGES_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inner_html FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(replace(regexp_replace(inner_html, '</?(p|h1|br)>', ' ', 'g'), '<b>', ''), '&quot;?', '"', 'g') AS t FROM a
+), c AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM b
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, decontaminate, minhash, sentencepiece_stream, token_store, warc
+from . import chat, classifier, decontaminate, html_extract, minhash, pii, quality_rules, sentencepiece_stream, token_store, warc
 from .common import materialise, table, work_path
 
 
@@ -21,10 +21,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_stream.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -52,17 +60,31 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_quality_rules": op2_quality_rules,
         "op3_decontamination": op3_decontamination,
+        "op4_pii": op4_pii,
         "op5_warc": op5_warc,
         "op6_token_store": op6_token_store,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_chat": op8_chat,
         "op9_minhash": op9_minhash,
+        "op10_html_extraction": op10_html_extraction,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.RECORDS_SQL, "op8_chat": chat.DIGESTS_SQL}
+    return {"op5_warc": warc.RECORDS_SQL, "op8_chat": chat.DIGESTS_SQL, "op10_html_extraction": html_extract.GIVEN_PAGES_SQL}
