@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 #: Entries that a worker's caches hold before they are emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 
 
 class Model:
@@ -58,10 +60,17 @@ class Model:
         #: The same of line feeds, which then stand alone.
         self.cut_at_lines = not any("\n" in p for p in self.ids)
         self._stable: dict[tuple[str, str], bool] = {}
+        self._ends_with: dict[str, str] = {}
         self._halves: dict[int, list[str]] = {}
         self._starts: dict[str, list] = {}
         self._ends: dict[str, list] = {}
-        self._chunks: dict[str, list[int]] = {}
+        self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        #: What each id adds to a decoded text, in UTF-8.
+        self._decoded = [
+            bytes((int(p[3:5], 16),)) if t == _BYTE else " ⁇ ".encode() if t == _UNKNOWN else p.replace(SPACE, " ").encode() if t == _NORMAL else b""
+            for p, t in zip(self.pieces, self.types, strict=True)
+        ]
         parts = (f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.cut_at_lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.cut_at_marks else "(?s).+"
         self._split = re.compile(parts).findall
 
@@ -129,20 +138,30 @@ class Model:
             self._stable[left, right] = known
         return known
 
-    def _short(self, text: str) -> list[int]:
-        """The search over a text no longer than the window, by the survivors' last pieces."""
-        ids, stable, longest = self.ids, self.stable, self.longest
-        pieces = [""] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                piece = text[begin:end]
-                if (piece in ids or begin == end - 1) and (not begin or stable(pieces[begin], piece)):
-                    pieces[end] = piece
+    def _last_piece(self, text: str) -> str:
+        """The last piece of the surviving path over a text no longer than the window.
+
+        It depends on the text alone, so what words begin with alike is searched once; boundaries that no candidate piece starts
+        from are not looked at.
+        """
+        known = self._ends_with.get(text)
+        if known is None:
+            ids, n = self.ids, len(text)
+            for begin in range(max(0, n - self.longest), n):
+                piece = text[begin:]
+                if (piece in ids or begin == n - 1) and (not begin or self.stable(self._last_piece(text[:begin]), piece)):
                     break
-        path, at, out = [], len(text), []
-        while at:
-            path.append(pieces[at])
-            at -= len(pieces[at])
+            if len(self._ends_with) >= CACHE_ENTRIES:
+                self._ends_with.clear()
+            known = self._ends_with[text] = piece
+        return known
+
+    def _short(self, text: str) -> list[int]:
+        path, out = [], []
+        while text:
+            piece = self._last_piece(text)
+            path.append(piece)
+            text = text[: -len(piece)]
         for piece in reversed(path):
             self._emit(piece, out)
         return out
@@ -218,38 +237,49 @@ class Model:
                 else:
                     window = 2 * (end - start)  # no meeting point yet: look again after as much text
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, as the library gives them; empty text: none."""
-        if not text:
-            return []
-        text = text.replace(" ", SPACE)
-        if self.prefix:
-            text = SPACE + text
+    def _encode_marked(self, text: str) -> list[int]:
+        """Ids of a text whose spaces are marks, part by part between certain boundaries."""
         out: list[int] = []
-        chunks = self._chunks
         for chunk in self._split(text):
-            ids = chunks.get(chunk)
-            if ids is None:
-                ids = self._short(chunk) if self.bpe and len(chunk) <= self.longest else [i for part in self.search(chunk) for i in part]
-                if len(chunk) <= 64:
-                    if len(chunks) >= CACHE_ENTRIES:
-                        chunks.clear()
-                    chunks[chunk] = ids
-            out += ids
+            out += self._short(chunk) if self.bpe and len(chunk) <= self.longest else [i for part in self.search(chunk) for i in part]
         return out
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text, as the library gives them, as native 32-bit integers; empty text: none.
+
+        Where no two spaces meet, paths have a boundary before each space and around each line feed, so the text is a sequence of
+        words, most of which have been seen before.
+        """
+        if not text:
+            return b""
+        words = text.replace("\n", " \n").split(" ") if self.cut_at_lines and self.cut_at_marks and self.prefix and SPACE not in text else [""]
+        if "" in words:
+            marked = text.replace(" ", SPACE)
+            return array("i", self._encode_marked(SPACE + marked if self.prefix else marked)).tobytes()
+        parts = list(map(self._words.get, words))
+        if None in parts:
+            for i, known in enumerate(parts):
+                if known is None:
+                    parts[i] = self._new_word(words[i])
+        return b"".join(parts)
+
+    def _new_word(self, word: str) -> bytes:
+        known = self._words.get(word) or self._older.get(word)
+        if known is None:
+            known = array("i", self._encode_marked(word if word[0] == "\n" else SPACE + word)).tobytes()
+        if len(word) <= 64:
+            if len(self._words) >= CACHE_ENTRIES:  # the words seen since the last time stay within reach
+                self._older, self._words = self._words, {}
+            self._words[word] = known
+        return known
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8 (invalid ones as U+FFFD), marks turned into spaces."""
-        parts: list[bytes] = []
-        for i in ids:
-            kind = self.types[i]
-            if kind == _BYTE:
-                parts.append(bytes((int(self.pieces[i][3:5], 16),)))
-            elif kind == _UNKNOWN:
-                parts.append(" ⁇ ".encode())
-            elif kind == _NORMAL:
-                parts.append(self.pieces[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+        table = self._decoded
+        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -278,12 +308,14 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             for start in range(0, batch.num_rows, 64):
                 ids, digests, same = [], [], []
                 for text in batch.column(1).slice(start, 64).to_pylist():
-                    got = model.encode(text or "")
-                    back = model.decode(got)
+                    got = model.encode_bytes(text or "")
+                    back = model.decode(array("i", got).tolist())
                     ids.append(got)
                     digests.append(hashlib.sha256(back.encode()).hexdigest())
                     same.append(back == (text or ""))
-                columns = [batch.column(0).slice(start, 64), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(digests), pa.array(same)]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                columns = [batch.column(0).slice(start, 64), lists, pa.array(np.diff(ends), pa.int64()), pa.array(digests), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"])
 
     schema = "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
