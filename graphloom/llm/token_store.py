@@ -33,7 +33,7 @@ _MAGIC = b"GLOOMIX1"
 #: Bytes of ids that a reader holds at once, unless one document has more.
 READ_BYTES = 8 << 20
 #: Entries that a worker's cache of encoded words holds before it is emptied, and the longest word kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 600_000, 64
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -138,10 +138,12 @@ class ShardIndex:
 
 
 class WordEncoder:
-    """Encodes UTF-8 texts with a tokenizers file that drops white space, word by word with a cache.
+    """Encodes UTF-8 texts with a lower-casing tokenizers file that drops white space, word by word with a cache.
 
     Such a tokenizer splits at white space before anything else reaches across it, so a text's ids are those of its
-    ASCII-white-space separated parts, one after the other. The library encodes every part that is not in the cache.
+    ASCII-white-space separated words, one after the other, and a mark of punctuation behind a letter is a token sequence of
+    its own. The library encodes every word that is not in the cache; words of letters only go to it many at a time and are
+    told apart by their last ids, which carry the end-of-word suffix.
     """
 
     def __init__(self, path: str):
@@ -149,28 +151,71 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 65536 else "<u4")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.marks = {mark: self._alone([chr(mark)])[0] for mark in b".,;:!?"}
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        letters, others = [], []
+        for w in words:
+            (letters if w.decode().isalpha() else others).append(w)
+        out = dict(zip(others, self._alone([w.decode() for w in others]), strict=True))
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group) or len(stops) and stops[-1] != len(ids):  # a word that is more than one token sequence
+                out.update(zip(group, self._alone([w.decode() for w in group]), strict=True))
+                continue
+            data, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
+            starts = [0, *(stops * size).tolist()]
+            out.update((w, data[a:b]) for w, a, b in zip(group, starts, starts[1:], strict=False))
+        return out
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in the cache."""
+        cache, older, marks = self.cache, self.older, self.marks
+        stems, new, known = {}, set(), {}
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif len(w) > 1 and w[-1] in marks and 97 <= w[-2] <= 122:
+                stem = w[:-1]
+                stems[w] = stem
+                if stem not in cache and stem not in older:
+                    new.add(stem)
+            else:
+                new.add(w)
+        fresh = self._encode(sorted(new))
+        known.update(fresh)
+        for w, stem in stems.items():
+            known[w] = (known.get(stem) or cache.get(stem) or older[stem]) + marks[w[-1]]
+        return known
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``, with the end id."""
-        parts = [t.split() for t in texts]
+        # Lower-casing ASCII letters first changes no id, unless it made a special token's name.
+        parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
         cache = self.cache
-        new = list({w for words in parts for w in words if w not in cache})
-        fresh: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            fresh.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(some, got, strict=True))
-        if fresh:
-            lookup = (lambda w: fresh[w] if w in fresh else cache[w]) if not cache else (lambda w: cache[w] if w in cache else fresh[w])
-        else:
-            lookup = cache.__getitem__
+        found = [list(map(cache.get, words)) for words in parts]
+        missing = {w for words, ids in zip(parts, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         end = np.array([END], self.dtype).tobytes()
-        out = [b"".join(map(lookup, words)) + end for words in parts]
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-        cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_LENGTH)
+        if not missing:
+            return [b"".join(ids) + end for ids in found]
+        known = self._learn(missing)
+        out = [b"".join([x if x is not None else known[w] for w, x in zip(words, ids, strict=True)]) + end for words, ids in zip(parts, found, strict=True)]
+        if len(cache) + len(known) > CACHE_WORDS:  # the words seen since the last time stay within reach
+            self.older, self.cache = cache, {}
+        self.cache.update((w, x) for w, x in known.items() if len(w) <= CACHE_LENGTH)
         return out
 
 
