@@ -72,7 +72,7 @@ def delete_cascade(files: DataFrame, symbols: DataFrame, edges: DataFrame, embed
     dead = symbols.join(gone.select("file_id"), "file_id", "left_semi").select(F.col("id").alias("__dead"))
     return (
         files.join(gone.select(F.col("file_id").alias("__f")), F.col("id") == F.col("__f"), "left_anti"),
-        symbols.join(gone.select("file_id"), "file_id", "left_anti"),
+        symbols.join(gone.select("file_id"), "file_id", "left_anti").select(*symbols.columns),
         edges.join(dead, F.col("src") == F.col("__dead"), "left_anti").join(dead, F.col("tgt") == F.col("__dead"), "left_anti"),
         embeddings.join(dead, F.col("symbol_id") == F.col("__dead"), "left_anti"),
     )
