@@ -38,7 +38,7 @@ BOTTOM = 1024
 SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
 #: Entries that a worker's word cache holds before it is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
