@@ -3,59 +3,20 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialise, shared_dir, work_path
+
+__all__ = ["filesystem", "materialise", "shared_dir", "table", "work_path", "write_atomically"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (single-machine tests) is a temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="graphloom-shared-")
-    sc.setCheckpointDir(own)
-    return own
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/work/{tag}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    This cuts the lineage and outlives any executor; the schema is passed on, so reading needs no inference job.
-    """
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete work files that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or a plain local path."""
     from pyarrow import fs
