@@ -171,3 +171,39 @@ def summary_text(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def top_by_degree(symbols: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` symbols that most edges point to."""
     return symbols.join(degrees(symbols, edges), "id").where("in_degree > 0").orderBy(F.desc("in_degree"), "id").limit(k).select("id", "name", "kind", "language", "in_degree")
+
+
+def analytics_table(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """scope, scope_id, analytics (JSON), summary: one row for the project, each layer, source, namespace and bridge.
+
+    Bridges are keyed by both languages and the edge type, so no row overwrites another.
+    """
+
+    def packed(df: DataFrame, scope: str, key, *columns: str, summary=None) -> DataFrame:
+        text = F.lit(None).cast("string") if summary is None else summary
+        return df.select(F.lit(scope).alias("scope"), key.alias("scope_id"), F.to_json(F.struct(*columns)).alias("analytics"), text.alias("summary"))
+
+    c = F.col
+    overview = project_stats(symbols).crossJoin(summary_text(symbols, edges))  # one row each
+    crossing = bridges(symbols, edges)
+    coverage = bridge_coverage(symbols, edges)
+    share = F.concat(F.round(100 * c("with_confidence") / F.greatest(c("total_edges"), F.lit(1))).cast("long").cast("string"), F.lit("% of bridging edges carry a confidence"))
+    parts = [
+        packed(overview, "project", F.lit("overview"), "total_symbols", "language_count", "kind_count", "file_count", summary=c("summary")),
+        packed(coverage, "project", F.lit("bridge_coverage"), "total_edges", "with_confidence", "avg_confidence", "low_confidence", summary=share),
+        packed(layer_counts(symbols), "layer", c("layer"), "cnt"),
+        packed(source_stats(symbols), "source", c("source_id"), "symbol_count", "file_count", "languages", "kinds"),
+        packed(namespace_stats(symbols), "namespace", c("namespace"), "symbol_count", "kinds", "languages"),
+        packed(crossing, "bridge", F.concat_ws("->", "source_language", "target_language", "edge_type"), "edge_count"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def compute_all(symbols: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbols with in_degree, out_degree, pagerank and layer; the analytics table). Both inputs are written once and reused."""
+    s, e = materialise(symbols, "symbols"), materialise(edges, "edges")
+    enriched = layers(s).join(degrees(s, e), "id").join(pagerank(e), "id", "left")
+    return enriched, analytics_table(s, e)

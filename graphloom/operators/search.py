@@ -64,3 +64,18 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
 def _unit(raw: Column) -> Column:
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, v: a + v * v))
     return F.transform(raw, lambda v: (v / F.greatest(norm, F.lit(1e-12))).cast("float"))
+
+
+def filter_and_rank(symbols: DataFrame, query: str | None, kinds: list[str] | None = None, seen: list[str] | None = None, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(the best symbols of the kinds, one row of total and seen counts)."""
+    own = symbols.where(is_in("kind", kinds))
+    counts = own.agg(F.count("*").alias("total"), F.count_if(F.col("id").isin(*(seen or [""]))).alias("seen"))
+    return rank(own, query, seen).orderBy(F.desc("score"), "id").limit(limit), counts
+
+
+def embed_missing(symbols: DataFrame, embeddings: DataFrame, embed=hash_embedding) -> DataFrame:
+    """``embeddings`` (symbol_id, embedding) and a vector for each symbol that has none, of its describing text."""
+    column = lambda c: F.col(c) if c in symbols.columns else F.lit(None).cast("string")
+    text = X.embedding_text(F.col("kind"), F.col("qualified_name"), column("signature"), column("doc_comment"))
+    new = without_embeddings(symbols, embeddings).select(F.col("id").alias("symbol_id"), embed(text).alias("embedding"))
+    return embeddings.select("symbol_id", "embedding").unionByName(new)

@@ -154,3 +154,24 @@ def within_budget(nodes: DataFrame, budget: int, cost: str = "cost", order: tupl
     """
     w = W.orderBy(*(F.desc(c) for c in order), "id").rowsBetween(W.unboundedPreceding, 0)
     return nodes.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
+
+
+def edge_histogram(edges: DataFrame, samples: int = 10) -> DataFrame:
+    """edge_type, cnt, samples: the counts and the first ``samples`` edges of each type, by their ends."""
+    w = W.partitionBy("edge_type").orderBy("src", "tgt")
+    first = edges.withColumn("n", F.row_number().over(w)).where(F.col("n") <= samples).groupBy("edge_type").agg(F.array_sort(F.collect_list(F.concat_ws("->", "src", "tgt"))).alias("samples"))
+    return edges.groupBy("edge_type").agg(F.count("*").alias("cnt")).join(first, "edge_type")
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10) -> list[str] | None:
+    """The ids of a shortest directed path of at most ``most`` hops, the smallest by predecessor ids; None if there is none."""
+    start = edges.sparkSession.createDataFrame([(source,)], "node string")
+    seen = materialise(reach(edges, start, most, True), "path")
+    path, node = [], target
+    while node is not None:
+        row = seen.where(F.col("node") == node).select("via").first()
+        if row is None:
+            return None
+        path.append(node)
+        node = row.via
+    return path[::-1]

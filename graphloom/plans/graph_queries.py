@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import analytics as A
 from ..operators import resolution as R
+from ..operators import search as S
 from ..operators import traversal as T
 from ..operators.graph_tables import edges, symbols, table
 from ..storage import materialise
@@ -223,3 +224,26 @@ def _(spark, d):
     by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"), F.reverse(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))).alias("y"))
     by = by.select("l_orderkey", F.transform("x", lambda v: v["l_partkey"]).alias("x"), F.slice(F.transform("y", lambda v: v["l_suppkey"]), 1, 3).alias("y"))
     return R.positional_pairs(by, "l_orderkey", "x", "y")
+
+
+@query("edge_histogram", f"""WITH {EDGES}, r AS (SELECT edge_type, src || '->' || tgt AS s, row_number() OVER (PARTITION BY edge_type ORDER BY src, tgt) AS n FROM edges)
+SELECT edge_type, count(*) AS cnt, list_sort(list(s) FILTER (n <= 10)) AS samples FROM r GROUP BY edge_type""")
+def _(spark, d):
+    return T.edge_histogram(edges(spark, d))
+
+
+@query("analytics_table")
+def _(spark, d):
+    return A.analytics_table(materialise(symbols(spark, d), "symbols"), materialise(edges(spark, d), "edges"))
+
+
+@query("enriched_symbols")
+def _(spark, d):
+    return A.compute_all(symbols(spark, d), edges(spark, d))[0].select("id", "layer", "in_degree", "out_degree", "pagerank")
+
+
+@query("embed_missing")
+def _(spark, d):
+    own = symbols(spark, d).where("kind in ('module', 'package', 'interface')")
+    none = spark.createDataFrame([], "symbol_id string, embedding array<float>")
+    return S.embed_missing(own, none)

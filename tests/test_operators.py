@@ -152,3 +152,18 @@ def test_access(spark):
     assert visible(df, Principal("a")).count() == 1 and visible(df, Principal(None)).count() == 0 and visible(df, Principal(role="admin")).count() == 2
     assert Principal(scopes=("read",)).has_any_scope("write", "read") and not Principal().has_scope("read")
     assert (clamp(None, 20, 100), clamp(500, 20, 100), clamp(0, 20, 100)) == (20, 100, 20) and csv_values(" A, ,b") == ["a", "b"]
+
+
+def test_whole_project(seeded, spark):
+    s, e = seeded
+    s = s.withColumn("source_id", F.lit("git"))
+    enriched, table = A.compute_all(s, e)
+    assert {r.id: (r.in_degree, r.layer) for r in enriched.collect()} == {"T": (2, "data"), "P": (1, "data"), "C": (0, "data"), "M": (0, "data")}
+    keys = [(r["scope"], r.scope_id) for r in table.collect()]
+    assert len(keys) == len(set(keys)) and ("bridge", "go->tsql->calls") in keys and ("project", "overview") in keys
+    best, counts = S.filter_and_rank(enriched, "customers", ["table", "class"], ["T"], 1)
+    assert best.first().id == "T" and tuple(counts.first()) == (2, 1)
+    have = spark.createDataFrame([("T", [1.0])], "symbol_id string, embedding array<float>")
+    assert {r.symbol_id: len(r.embedding) for r in S.embed_missing(s, have).collect()} == {"T": 1, "P": 64, "C": 64, "M": 64}
+    assert {r.edge_type: (r.cnt, r.samples) for r in T.edge_histogram(e, 1).collect()} == {"calls": (1, ["C->P"]), "reads_from": (2, ["M->T"])}
+    assert T.shortest_path(e, "C", "T") == ["C", "P", "T"] and T.shortest_path(e, "T", "C") is None
