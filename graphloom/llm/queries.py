@@ -41,7 +41,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, vocabulary = work_path(spark, "tokens"), tokenizer_file("word_bpe_49k.json")
-    token_store.write_store(table(spark, sf_dir, "documents"), path, lambda: token_store.WordEncoder(vocabulary))
+    token_store.write_store(table(spark, sf_dir, "documents"), path, lambda: token_store.word_encoder(vocabulary))
     return token_store.read_store(spark, path)
 
 

@@ -19,6 +19,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -205,24 +206,38 @@ class WordEncoder:
         """The ids of each text as bytes of ``dtype``, with the end id."""
         # Lower-casing ASCII letters first changes no id, unless it made a special token's name.
         parts = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        cache = self.cache
-        found = [list(map(cache.get, words)) for words in parts]
-        missing = {w for words, ids in zip(parts, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        end = np.array([END], self.dtype).tobytes()
-        if not missing:
-            return [b"".join(ids) + end for ids in found]
-        known = self._learn(missing)
-        out = [b"".join([x if x is not None else known[w] for w, x in zip(words, ids, strict=True)]) + end for words, ids in zip(parts, found, strict=True)]
-        if len(cache) + len(known) > CACHE_WORDS:  # the words seen since the last time stay within reach
-            self.older, self.cache = cache, {}
-        self.cache.update((w, x) for w, x in known.items() if len(w) <= CACHE_LENGTH)
+        words = list(chain.from_iterable(parts))
+        ids = list(map(self.cache.get, words))
+        if None in ids:
+            at = [i for i, x in enumerate(ids) if x is None]
+            known = self._learn({words[i] for i in at})
+            for i in at:
+                ids[i] = known[words[i]]
+            if len(self.cache) + len(known) > CACHE_WORDS:  # the words seen since the last time stay within reach
+                self.older, self.cache = self.cache, {}
+            self.cache.update((w, x) for w, x in known.items() if len(w) <= CACHE_LENGTH)
+        end, out, start = np.array([END], self.dtype).tobytes(), [], 0
+        for own in parts:
+            stop = start + len(own)
+            out.append(b"".join(ids[start:stop]) + end)
+            start = stop
         return out
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a tokenizers file, kept in a worker from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[bytes]], list[bytes]]]) -> list[dict]:
     """Write the ids of every row of ``docs`` (doc_id, text) in ascending doc_id order below ``path``; returns the shards.
 
-    ``encoder()`` makes, once in a task, the function from UTF-8 texts to id bytes; it has a ``dtype``. Null texts are
+    ``encoder()`` gives, once in a task, the function from UTF-8 texts to id bytes; it has a ``dtype``. Null texts are
     empty; rows without doc_id come first; rows that repeat one follow each other in the order of their texts' hashes.
     One short row for each shard comes to the driver. A task that runs again writes the same files again.
     """

@@ -76,3 +76,18 @@ def test_components(spark):
 
 def test_bands():
     assert bands_for(0.85) == (5, 25) and bands_for(0.8) == (4, 32)
+
+
+def test_large_sets(spark):
+    """Sets above the sketch's sample size, on both sides of the threshold."""
+    r = random.Random(9)
+    rows = []
+    for base in range(4):
+        words = [f"v{base}_{i}" for i in range(3000)]
+        for copy in range(4):
+            changed = list(words)
+            for _ in range([0, 40, 70, 160][copy]):
+                changed[r.randrange(len(changed))] = f"n{r.random()}"
+            rows.append((base * 10 + copy, " ".join(changed)))
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(2), 3, 85).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 3, 85)

@@ -8,7 +8,7 @@ P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
 from graphloom.llm.common import work_path  # noqa: E402
-from graphloom.llm.token_store import PerfectHash, ShardIndex, WordEncoder, lookup, read_store, write_store  # noqa: E402
+from graphloom.llm.token_store import PerfectHash, ShardIndex, WordEncoder, lookup, read_store, word_encoder, write_store  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -49,7 +49,7 @@ def test_store(spark):
     rows = [(i * 13 % 1000, t) for i, t in enumerate(texts())] + [(5, "again"), (5, "again"), (None, "no key")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, start string").repartition(5)
     path = work_path(spark, "tokens")
-    write_store(docs, path, lambda: WordEncoder(PATH))
+    write_store(docs, path, lambda: word_encoder(PATH))
     got = sorted(read_store(spark, path, with_ids=True).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda k: -1 if k is None else k)
     assert sorted((r.doc_id or -1, r.ids) for r in got) == sorted((i or -1, ids) for (i, _), ids in zip(rows, library_ids([t for _, t in rows]), strict=True))
@@ -63,5 +63,5 @@ def test_store(spark):
 
 def test_empty_table(spark):
     path = work_path(spark, "tokens")
-    write_store(spark.createDataFrame([], "doc_id long, text string"), path, lambda: WordEncoder(PATH))
+    write_store(spark.createDataFrame([], "doc_id long, text string"), path, lambda: word_encoder(PATH))
     assert read_store(spark, path).collect() == []
