@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import materialise, shared_dir, work_path
 
-__all__ = ["filesystem", "materialise", "shared_dir", "table", "work_path", "write_atomically"]
+__all__ = ["filesystem", "map_batches", "materialise", "shared_dir", "table", "work_path", "write_atomically"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to a Python worker; Spark's own number would put many megabytes of texts into one.
+BATCH_ROWS = 512
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over small batches, whose worker gives its free memory back after each task."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(go, schema)
+
+
+def release_memory() -> None:
+    """Return what Python, Arrow and the C library hold without need to the system; workers stay alive between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI or a plain local path."""
     from pyarrow import fs

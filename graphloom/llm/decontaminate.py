@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 WINDOW = 13
 #: UTF-8 bytes of benchmark text in one automaton. A larger benchmark is scanned in blocks of this size.
 BLOCK_BYTES = 16 << 20
@@ -129,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: long, end: long>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def is_contaminated(n_hit: int, n_words: int) -> bool:
@@ -147,7 +149,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
             keep = [not (hit and is_contaminated(_summary(text, hit)[0], n)) for text, (n, hit) in zip(texts, scan(texts), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def _summary(text: bytes, hit: dict) -> tuple[int, list[str], list[dict]]:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 # Fixed values of HTML: elements without content, with raw text, that are never shown, and that stand within a line.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes math select option datalist canvas object audio video".split())
@@ -396,7 +398,7 @@ def extract_pages(pages_: DataFrame, weights: Weights | None = None) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages_.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long")
 
 
 #: The rows of ``extract_pages`` over pages of the given form, whose content is their only article and which use no other

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 SAMPLES = 128
 #: Elements of the bottom MinHash sample that is folded into the odd sketch, and the sketch's bits.
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
                 columns += [pa.array([x[i] for x in sketches], pa.int64()) for i in range(WORDS)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "keys", *(f"s{i}" for i in range(WORDS))])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNATURE)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SIGNATURE)
 
 
 def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -155,7 +155,7 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 values = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 128), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "elements"])
 
-    return docs.mapInArrow(run, "doc_id long, elements array<long>")
+    return map_batches(docs, run, "doc_id long, elements array<long>")
 
 
 def _distance(a: str, b: str) -> Column:

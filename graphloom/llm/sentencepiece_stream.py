@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
@@ -273,6 +275,11 @@ class Model:
             self._words[word] = known
         return known
 
+    def forget(self) -> None:
+        """Empty the caches: a worker keeps the model for its next task, but not its words through other stages."""
+        for cache in (self._words, self._older, self._ends_with, self._stable):
+            cache.clear()
+
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
@@ -317,6 +324,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 columns = [batch.column(0).slice(start, 64), lists, pa.array(np.diff(ends), pa.int64()), pa.array(digests), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n_tokens", "decoded_sha256", "round_trip"])
+        model.forget()
 
     schema = "doc_id long, ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, write_atomically
+from .common import filesystem, map_batches, write_atomically
 
 END = 1
 _MAGIC = b"GLOOMIX1"
@@ -268,7 +268,7 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
     placed = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    shards = sorted((r.asDict() for r in placed.mapInArrow(run, "shard long, n_docs long, n_tokens long, low long, high long").collect()), key=lambda r: r["shard"])
+    shards = sorted((r.asDict() for r in map_batches(placed, run, "shard long, n_docs long, n_tokens long, low long, high long").collect()), key=lambda r: r["shard"])
     start = 0
     for row in shards:
         row["start"] = start
@@ -299,7 +299,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
     n = len(shards)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, schema)
+    return map_batches(spark.range(0, n, 1, max(1, n)), run, schema)
 
 
 def _shard_rows(path: str, shard: int, first: int, with_ids: bool) -> Iterator[pa.RecordBatch]:

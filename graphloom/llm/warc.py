@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import filesystem, materialise, write_atomically
+from .common import filesystem, map_batches, materialise, write_atomically
 
 #: Payloads from this size are written once.
 LEAST_BYTES = 1000
@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
         write_atomically(f"{path}/part-{TaskContext.get().partitionId():05d}.warc{'.gz' if compress else ''}", records)
         yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
 
-    ready.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    map_batches(ready, run, "n long").agg(F.sum("n")).collect()
 
 
 # -- reading ---------------------------------------------------------------------------------------------------------
@@ -325,7 +325,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     responses = read_archives(spark, path).where("record_type = 'response'").select(*needed)
     revisits = read_archives(spark, path, payload=False).where("record_type = 'revisit'").select(*needed)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return responses.union(revisits).mapInArrow(run, schema)
+    return map_batches(responses.union(revisits), run, schema)
 
 
 #: The rows of ``page_records`` over pages, for DuckDB.
