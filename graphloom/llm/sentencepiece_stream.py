@@ -29,7 +29,7 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _UNIGRAM, _BPE = 1, 2
 #: Entries that a worker's caches hold before they are emptied.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 
 
 class Model:
