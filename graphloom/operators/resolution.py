@@ -111,10 +111,14 @@ def column_edges(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """The shortest range of (file_id, start_line, end_line, id) around each point (file_id, line, point_id).
 
-    An equality on the file and a range condition; the best range of a point is found by aggregation.
+    An equality on the file and a range condition; the best range of a point is found by aggregation. Of ranges with the same
+    lines only the smallest id can be the best one, and points on one line share theirs, so each is joined once.
     """
-    hit = points.join(ranges, "file_id").where("start_line <= line and line <= end_line")
-    return first_match(hit.select("point_id", (F.col("end_line") - F.col("start_line")).alias("span"), "id"), "point_id", ["span", "id"]).select("point_id", "id")
+    distinct = ranges.groupBy("file_id", "start_line", "end_line").agg(F.min("id").alias("id"))
+    lines = points.select("file_id", "line").distinct()
+    hit = lines.join(distinct, "file_id").where("start_line <= line and line <= end_line")
+    best = hit.groupBy("file_id", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "id")).alias("best"))
+    return first_match(points.join(best, ["file_id", "line"]).select("point_id", "best.*"), "point_id", ["span", "id"]).select("point_id", "id")
 
 
 def positional_pairs(df: DataFrame, key: str, left: str, right: str) -> DataFrame:

@@ -214,7 +214,7 @@ def _(spark, d):
 p AS (SELECT p_partkey AS point_id, p_partkey % 20 AS file_id, p_size + 5 AS line FROM part) SELECT point_id, id FROM (SELECT point_id, id, row_number() OVER (PARTITION BY point_id ORDER BY end_line - start_line, id) AS n FROM p JOIN r USING (file_id) WHERE start_line <= line AND line <= end_line) WHERE n = 1""")
 def _(spark, d):
     begin = F.col("l_linenumber") * 10 + F.col("l_orderkey") % 7
-    ranges = table(spark, d, "lineitem").where("l_orderkey < 400").select((F.col("l_partkey") % 20).alias("file_id"), begin.alias("start_line"), (begin + F.col("l_quantity").cast("int")).alias("end_line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    ranges = table(spark, d, "lineitem").select((F.col("l_partkey") % 20).alias("file_id"), begin.alias("start_line"), (begin + F.col("l_quantity").cast("int")).alias("end_line"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     points = table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_partkey") % 20).alias("file_id"), (F.col("p_size") + 5).alias("line"))
     return R.innermost(points, ranges)
 
