@@ -55,7 +55,7 @@ r AS (SELECT conv_id, turn, unnest(regexp_extract_all(sql, '(?i)(?:FROM|JOIN) \\
 SELECT conv_id, turn, 'dbo.' || name AS qualified, reference_type, count(*) AS cnt FROM r WHERE upper(name) NOT IN ({words(V.SQL_WORDS)}) GROUP BY ALL""")
 def _(spark, d):
     t = table(spark, d, "conversations").where("role = 'user'")
-    sql = F.concat(F.lit("select * from "), F.replace(F.substring("text", 1, 60), F.lit("."), F.lit(" ")), F.lit(" join Orders into Log, x exec run_it; delete From set"))
+    sql = F.concat(F.lit("select * from "), F.replace(F.col("text"), F.lit("."), F.lit(" ")), F.lit(" join Orders into Log, x exec run_it; delete From set"))
     return t.select("conv_id", "turn", F.explode(X.table_references(sql)).alias("r")).groupBy("conv_id", "turn", "r.qualified", "r.reference_type").agg(F.count("*").alias("cnt"))
 
 
@@ -70,7 +70,7 @@ def _questions(spark, d):
     ends = ["breaks if I change", "tables does this endpoint use", "is the data flow of", "are the most used", "foreign key links", "depends on", "is this overview", "statistics exist for", "polyglot parts touch", "workflow has",
             "columns and methods does it find: rename", "upstream data come from", "of"]
     c = table(spark, d, "conversations").where("role = 'user'")
-    return c.select("conv_id", "turn", F.concat(F.lit("What "), F.element_at(F.lit(ends), (F.col("conv_id") % 13 + 1).cast("int")), F.lit(" "), F.substring("text", 1, 80), F.lit("?")).alias("q"))
+    return c.select("conv_id", "turn", F.concat(F.lit("What "), F.element_at(F.lit(ends), (F.col("conv_id") % 13 + 1).cast("int")), F.lit(" "), F.col("text"), F.lit("?")).alias("q"))
 
 
 @query("intent_class", f"WITH q AS (SELECT conv_id, turn, lower({_QUESTION}) AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_phrases(V.INTENTS, 'q', 'search')} AS intent, {_phrases(V.TOOL_FALLBACK, 'q', 'search')} AS tool FROM q")

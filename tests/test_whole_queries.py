@@ -12,6 +12,10 @@ DATA = "/root/testdata/sf0.001"
 CUTS = {
     "enclosing_range": " WHERE l_orderkey < 400",
     "ingest_stream": " AND event_id < 700",
+    "table_refs": ("left(text, 60)", "text"),
+    "intent_class": ("left(text, 80)", "text"),
+    "question_parameters": ("left(text, 80)", "text"),
+    "search_terms": ("left(text, 80)", "text"),
 }
 
 
@@ -39,3 +43,12 @@ def same_rows(spark, name, data):
 @pytest.mark.parametrize("name", list(CUTS))
 def test_whole_table(spark, name):
     same_rows(spark, name, DATA)
+
+
+@pytest.mark.parametrize("name", ["table_refs", "intent_class", "question_parameters", "search_terms"])
+def test_words_behind_the_prefix(spark, name, tmp_path):
+    """conv_id 12 asks with 'of' alone, so that what decides stands in the text, far behind its first 80 characters."""
+    texts = ["x " * 100 + t for t in ("rename the procedure", "what breaks upstream", "delete a layer from Tables", "join Orders of all", "update Log set a")]
+    rows = ", ".join(f"(12, {n}, 'user', '{t}')" for n, t in enumerate(texts))
+    duckdb.sql(f"COPY (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, text FROM (VALUES {rows}) v(conv_id, turn, role, text)) TO '{tmp_path}/conversations.parquet' (FORMAT parquet)")
+    same_rows(spark, name, str(tmp_path))
