@@ -77,6 +77,25 @@ def test_redact(spark):
     assert text[200] == (None, 0) and text[103] == ("page = 12345", 12) and text[10][0] == "name x tel: [PHONE] rest"
 
 
+def running_text():
+    rows = [(i, f"Hello, call me on +49 30 1234{i} today") for i in range(10, 30)] + [(i, f"you can reach me at a{i}@b.de or so") for i in range(30, 50)]
+    rows += [(i, f"a {w} saw it on +49 30 5555{i} then") for i, w in enumerate("abcdefghij", 50)] + [(i, f"a {w} saw it on {w}day then") for i, w in enumerate("klmnopqrstuvwxyzabcdefghij", 60)]
+    return rows + [(200, "é: please call me on 030 555-0123, ok"), (201, "Reach me at jane(at)example.com."), (202, "call me on monday or so"), (203, "a b saw it on 555 0199 then")]
+
+
+def test_phrases_in_running_text_discover_values(spark):
+    got = {r.doc_id: r for r in find(spark.createDataFrame(running_text(), "doc_id long, text string").repartition(3)).collect()}
+    assert got[200].spans == "phone:21:33" and got[201].spans == "email:12:31"
+    assert got[202].spans == "" and got[203].spans == ""  # a word; a phrase beside which words stand as well
+    assert sum(r.n_added for r in got.values()) == 2
+
+
+def test_labelled_values_run_to_their_delimiter(spark):
+    rows = [(i, f"mail: a{i}@b.de") for i in range(30)] + [(100, "mail: jane(at)example.com, then"), (101, "mail: " + "x" * 100 + "1" * 50 + "; rest"), (102, "mail: nobody")]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[100], got[101], got[102]) == ("mail: [EMAIL], then", "mail: [EMAIL]; rest", "mail: nobody")
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert find(none).collect() == [] and redact(none).collect() == []
