@@ -244,6 +244,5 @@ def _(spark, d):
 
 @query("embed_missing")
 def _(spark, d):
-    own = symbols(spark, d).where("kind in ('module', 'package', 'interface')")
-    none = spark.createDataFrame([], "symbol_id string, embedding array<float>")
-    return S.embed_missing(own, none)
+    given = table(spark, d, "embeddings").select(F.concat(F.lit("P:"), F.col("vec_id").cast("string")).alias("symbol_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return S.embed_missing(symbols(spark, d), given)

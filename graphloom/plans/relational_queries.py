@@ -155,7 +155,7 @@ def _(spark, d):
 def _(spark, d):
     s = symbols(spark, d)
     s = s.join(A.degrees(s, edges(spark, d)), "id").withColumn("pagerank", F.lit(None).cast("double"))
-    return S.rank(s, "nation_1", seen=["R:2"], focused=["N:18"], common_substring=False).select("id", F.round("score", 6).alias("score"))
+    return S.rank(s, "nation_1", seen=["R:2"], focused=["N:18"]).select("id", F.round("score", 6).alias("score"))
 
 
 @query("semantic_topk", """WITH q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)

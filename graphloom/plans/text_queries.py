@@ -123,9 +123,9 @@ def _(spark, d):
 
 @query("lcs_rank")
 def _(spark, d):
-    return symbols(spark, d).where("kind in ('module', 'package')").select("id", X.longest_common_substring(F.lower("name"), F.lit("united nations")).alias("common"), F.round(X.relevance(F.col("name"), F.col("qualified_name"), "united nations"), 6).alias("relevance"))
+    return symbols(spark, d).select("id", X.longest_common_substring(F.lower("name"), F.lit("united nations")).alias("common"), F.round(X.relevance(F.col("name"), F.col("qualified_name"), "united nations"), 6).alias("relevance"))
 
 
 @query("embed_hash")
 def _(spark, d):
-    return symbols(spark, d).where("kind <> 'class'").select("id", S.hash_embedding(F.col("qualified_name")).alias("embedding"))
+    return symbols(spark, d).select("id", S.hash_embedding(F.col("qualified_name")).alias("embedding"))
