@@ -60,9 +60,19 @@ def _types(base: str) -> list[str]:
     return [x.strip().split(".")[-1] for x in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", base)).split(",") if x.strip()]
 
 
+def _marks(src: str, bare: str, at: int) -> str:
+    """What stands between the last declaration and ``at``; ``bare`` is ``src`` without strings, what is in parentheses ends nothing."""
+    begin, depth = at, 0
+    while begin and (depth or bare[begin - 1] not in ";{}"):
+        begin -= 1
+        depth = max(0, depth + (bare[begin] == ")") - (bare[begin] == "("))
+    return src[begin:at]
+
+
 def java(path: str, text: str) -> Facts:
     f, line, scopes = Facts(), Lines(text), _Scopes()
     src = _blank(text, _C_COMMENTS)
+    bare = re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", lambda x: " " * len(x[0]), src)
     package = (re.search(r"(?m)^\s*package\s+([\w.]+)\s*;", src) or [None, ""])[1]
     if package:
         f.symbol(package.split(".")[-1], package, "package", 1)
@@ -80,8 +90,7 @@ def java(path: str, text: str) -> Facts:
             for name in _types(found[1]) if found else []:
                 f.ref(full, name, kind_, line(m.start()))
         repository = re.search(r"\b(?:Jpa|Crud|PagingAndSorting|Mongo)Repository\s*<\s*(\w+)", m[3])
-        before = src[max(0, m.start() - 400) : m.start()]
-        marks = before[max(before.rfind("}"), before.rfind(";")) + 1 :]
+        marks = _marks(src, bare, m.start())
         table = re.search(r"@Table\s*\([^)]*?name\s*=\s*\"([^\"]+)\"", marks)
         if table or "@Entity" in marks:
             f.ref(full, table[1] if table else m[2], "uses_table", line(m.start()), confidence=0.95 if table else 0.85)
@@ -114,6 +123,7 @@ def java(path: str, text: str) -> Facts:
 def csharp(path: str, text: str) -> Facts:
     f, line, scopes = Facts(), Lines(text), _Scopes()
     src = _blank(text, r"@?\$?\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)'|//[^\n]*|/\*.*?\*/")
+    bare = re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", lambda x: " " * len(x[0]), src)
     file_space = ""
     for m in re.finditer(r"(?m)^\s*namespace\s+([\w.]+)\s*([{;]?)", src):
         f.symbol(m[1].split(".")[-1], m[1], "module", line(m.start(1)))
@@ -132,8 +142,7 @@ def csharp(path: str, text: str) -> Facts:
         scopes.add(m.start(), end, full)
         for base in _types(m[3] or "") if kind != "enum" else []:
             f.ref(full, base, "implements" if re.match(r"I[A-Z]", base) else "inherits", line(m.start()))
-        marks = src[max(0, m.start() - 300) : m.start()]
-        marks = marks[max(marks.rfind("}"), marks.rfind(";"), marks.rfind("{")) + 1 :]
+        marks = _marks(src, bare, m.start())
         table = re.search(r"\[Table\s*\(\s*\"([^\"]+)\"", marks)
         if table:
             f.ref(full, table[1], "uses_table", line(m.start()), confidence=0.95)

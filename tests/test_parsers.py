@@ -182,3 +182,12 @@ def test_files_to_edges(spark):
     assert {(name[e.src], name[e.tgt]) for e in intra_file_edges(refs, symbols).collect()} == {("dbo.V", "dbo.T")}
     found = {(name[e.src], name[e.tgt], e.edge_type) for e in column_edges(columns_of(parsed), symbols).collect()}
     assert found == {("dbo.T.a", "dbo.V.a", "direct_copy"), ("dbo.T.b", "dbo.V.c", "transforms_to")}
+
+
+def test_long_annotation_blocks():
+    queries = ", ".join(f'@NamedQuery(name = "q{i}", query = "SELECT a FROM T{i} a WHERE a.b = :x; }}")' for i in range(12))
+    src = 'package p;\nclass Other { }\n@Entity\n@Table(name = "orders")\n@NamedQueries({' + queries + "})\npublic class Order { }\n"
+    refs = facts("java", src)[1]
+    assert ("uses_table", "p.Order", "orders") in refs and {f"T{i}" for i in range(12)} <= {name.split(".")[-1] for _, source, name in refs if source == "p.Order"}
+    src = 'class A { }\n[Table("orders")]\n[Note("' + "x; }" * 120 + '")]\npublic class Order { }\n'
+    assert ("uses_table", "Order", "orders") in facts("csharp", src)[1]
