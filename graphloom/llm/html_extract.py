@@ -1,22 +1,24 @@
 """Main-text extraction from HTML by a maximum-scoring subsequence.
 
-A page is read once into a sequence of texts and gaps, the runs of tags between them. Elements that are boilerplate by
-their tag and class words are taken out whole. Words score positive, the tags of a gap negative; a linear scan finds the
-contiguous region with the largest sum, and its texts, less the elements that were taken out, are the main text.
+A page is read once into a sequence of texts and gaps, the runs of tags between them. Words score positive, unless an element
+around them is boilerplate by its tag, its attributes' words, its links and its share of the page; tags score negative. A linear
+scan finds the contiguous region with the largest sum, and its texts, less those inside boilerplate, are the main text.
 
-The weights are learned from labelled pages, made here from templates with known content: one logistic regression over
-the tag and class words of elements tells boilerplate elements from those that hold content, another over the tags of a
-gap tells gaps within the content from those at its edges.
+All weights come from labelled pages, the layouts of ``labelled_pages.txt`` filled with texts of many lengths: a logistic
+regression over the features of elements tells boilerplate, and a structured perceptron learns what each tag costs, by
+comparing the region that the scan finds with the labelled one.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,173 +27,253 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-# Fixed values of HTML: elements without content, with raw text, that are never shown, and that stand within a line.
+# Fixed values of HTML: elements without content, whose content is no text of the page, whose content is raw text, and that stand within a line.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes math select option datalist canvas object audio video".split())
+_HIDDEN = frozenset("script style title noscript template iframe noembed noframes object audio video head".split())
 _RAW_TEXT = frozenset("script style textarea title xmp noembed noframes iframe noscript".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-_HEAD = frozenset(["head"])
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo mrow msup msub mfrac svg text".split()
+)
+_PLAIN = frozenset(f"tag={name}" for name in _INLINE) | frozenset(f"tag={name}" for name in "html body div section p ul ol li dl dt dd table tbody tr td th center h1 h2 h3 h4 h5 h6 article main pre blockquote".split())
 #: Start tags that end an open element of these names.
 _ENDS = {
-    "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
-    "option": {"option"}, "body": {"head"},
-} | {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
-#: Words that a unit of log odds of a tag weighs.
-WORDS_PER_UNIT = 10
+    "p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"),
+    "option": ("option",), "body": ("head",),
+} | {t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: Elements that an end tag of something outside them does not close.
 _SCOPES = frozenset("table td th article section main body".split())
 
-_TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?](?:[^>]*+>|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">]|[\"'])*?)>",
-    re.S,
-)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_STOP = re.compile(r"[>\"']")
+_BEFORE_VALUE = re.compile(r"=\s*\Z")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW_TEXT}
 
 
-def element_features(name: str, attrs: str) -> list[str]:
-    """The tag, the words of class, id and role with their first five letters, and whether it is hidden."""
-    out = [f"tag={name}"]
-    if attrs:
-        for key, a, b, c in _ATTRIBUTE.findall(attrs):
-            key, value = key.lower(), (a or b or c).lower()
-            if key in ("class", "id", "role", "itemprop"):
-                for word in re.findall(r"[a-z]+", value):
-                    out.append(f"word={word.rstrip('s')}")
-                    if len(word) > 5:
-                        out.append(f"start={word[:5]}")
-            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or key == "aria-hidden" and value == "true":
-                out.append("hidden")
-        if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs):
-            out.append("hidden")
-    return out
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag that goes on at ``at`` ends: behind the first ``>`` outside a quoted value, or -1."""
+    while True:
+        stop = _STOP.search(html, at)
+        if not stop:
+            return -1
+        if stop[0] == ">":
+            return stop.end()
+        quoted = _BEFORE_VALUE.search(html, max(at, stop.start() - 8), stop.start())
+        close = html.find(stop[0], stop.end()) if quoted else -1
+        at = close + 1 if close >= 0 else stop.end()
 
 
-@dataclass
-class Weights:
-    """Scores of element features (boilerplate if the sum with ``element_bias`` is above 0) and of a gap's tags (all below 0)."""
+def events(html: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("start", name, attributes) and ("end", name, ""); linear in the page.
 
-    element: dict[str, float] = field(default_factory=dict)
-    element_bias: float = 0.0
-    tag: dict[str, float] = field(default_factory=dict)
-    unknown_tag: float = -0.1
-    word: float = 1.0
+    Comments and declarations are left out, as is the content of raw elements other than ``textarea``. A tag that the page's end cuts off is left out too.
+    """
+    at, text, size = 0, 0, len(html)
+    while (found := html.find("<", at)) >= 0:
+        if html.startswith("<!--", found):
+            end = html.find("-->", found + 4)
+            end, event = end + 3 if end >= 0 else size, None
+        elif html.startswith(("<!", "<?"), found):
+            end = html.find(">", found)
+            end, event = end + 1 if end >= 0 else size, None
+        else:
+            name = _NAME.match(html, found + 1)
+            if not name:  # a sign, not a tag
+                if found + 1 == size or html[found + 1] == "/" and ">" not in html[found : found + 3] and found + 2 == size:
+                    size = found
+                    break
+                at = found + 1
+                continue
+            end = _tag_end(html, name.end())
+            if end < 0:
+                size = found
+                break
+            event = ("end", name[2].lower(), "") if name[1] else ("start", name[2].lower(), html[name.end() : end - 1])
+        if found > text:
+            yield "text", html[text:found], ""
+        if event:
+            yield event
+            if event[0] == "start" and event[1] in _RAW_TEXT and not event[2].endswith("/"):
+                close = _RAW_END[event[1]].search(html, end)
+                if event[1] in ("textarea", "xmp"):
+                    yield "text", html[end : close.start() if close else len(html)], ""
+                yield "end", event[1], ""
+                end = close.end() if close else len(html)
+        at = text = end
+    if text < size:
+        yield "text", html[text:size], ""
 
-    def boilerplate(self, features: list[str]) -> bool:
-        return self.element_bias + sum(self.element.get(f, 0.0) for f in features) > 0
 
+@dataclass
+class Element:
+    """An element: its parent's number (-1: none), and how many words and words in links it holds."""
 
-def events(html: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("start", name, attributes) and ("end", name, ""); raw elements come without their content."""
-    at, size = 0, len(html)
-    while at < size:
-        found = _TOKEN.search(html, at)
-        if not found:
-            rest = html[at:]
-            cut = re.search(r"<(?:[A-Za-z/!?][^>]*)?\Z", rest)
-            yield "text", rest[: cut.start()] if cut else rest, ""
-            return
-        if found.start() > at:
-            yield "text", html[at : found.start()], ""
-        at = found.end()
-        name = found["name"]
-        if name is None:
-            continue
-        name = name.lower()
-        if found["end"]:
-            yield "end", name, ""
-            continue
-        attrs = found["attrs"]
-        yield "start", name, attrs
-        if name in _RAW_TEXT:
-            close = _RAW_END[name].search(html, at)
-            yield "end", name, ""
-            at = close.end() if close else size
+    name: str
+    attrs: str
+    parent: int
+    words: int = 0
+    links: int = 0
 
 
-def _walk(html: str, is_boilerplate) -> Iterator[tuple[str, object]]:
-    """("text", text) of shown text, ("tags", key) of tags outside boilerplate, ("skip", name) of an element taken out."""
-    stack: list[tuple[str, bool]] = []  # names, and whether the element is boilerplate
-    depth = 0  # boilerplate elements on the stack
+@dataclass
+class Piece:
+    """A text, the tags of the gap before it, each with the number of its element, and the number of the element that holds the text (-1: none)."""
+
+    text: str
+    words: int
+    gap: list[tuple[str, int]]
+    block: bool  # whether a new block begins with it
+    element: int
+    link: bool = False
+
+
+def read_page(html: str) -> tuple[list[Piece], list[Element]]:
+    """The shown texts and the elements of a page, in one pass whose steps do not depend on the depth."""
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # names and numbers of the open elements
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
+    scopes: list[int] = []  # where elements of _SCOPES are, and those that do not stand within a line
+    blocks: list[int] = []
+    hidden = 0
+    out: list[Piece] = []
+    gap: list[tuple[str, int]] = []
+    block, space = True, ""
 
     def pop_to(n: int) -> None:
-        nonlocal depth
+        nonlocal hidden
         while len(stack) > n:
-            depth -= stack.pop()[1]
+            name, number = stack.pop()
+            places[name].pop()
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            hidden -= name in _HIDDEN
+            e = elements[number]
+            if name == "a":
+                e.links = e.words
+            if e.parent >= 0:
+                elements[e.parent].words += e.words
+                elements[e.parent].links += e.links
 
     for kind, value, attrs in events(html):
         if kind == "text":
-            if not depth:
-                yield "text", value
+            if hidden:
+                continue
+            text = unescape(value)
+            words = len(text.split())
+            if not words:
+                space += text
+                continue
+            number = stack[-1][1] if stack else -1
+            if stack:
+                elements[number].words += words
+            out.append(Piece(space + text, words, gap, block, number, bool(places.get("a"))))
+            gap, block, space = [], False, ""
             continue
-        name = value
+        inside = hidden
+        tag, number = value, stack[-1][1] if stack else -1
         if kind == "start":
-            ends = _ENDS.get(name)
+            ends = _ENDS.get(value)
             if ends:
-                for n in range(len(stack) - 1, -1, -1):
-                    if stack[n][0] in ends:
-                        pop_to(n)
-                        break
-                    if stack[n][0] in _SCOPES or stack[n][1]:
-                        break
-            if name in _VOID or attrs.endswith("/") and name in _RAW:
-                if not depth:
-                    yield "tags", name
-                continue
-            out = not depth and (name in _RAW or name in _HEAD or is_boilerplate(name, attrs))
-            if out:
-                yield "skip", name
-            elif not depth:
-                yield "tags", name
-            stack.append((name, out))
-            depth += out
-        else:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    inside = depth
+                n = max((places[e][-1] for e in ends if places.get(e)), default=-1)
+                if n >= 0 and n >= (scopes[-1] if scopes else -1):
                     pop_to(n)
-                    if not inside:
-                        yield "tags", "/" + name
-                    elif not depth:
-                        yield "tags", "/skip"
-                    break
-                if name in _INLINE and stack[n][0] not in _INLINE:
-                    break
-            else:
-                if not depth:
-                    yield "tags", "/" + name
+            if value not in _VOID:
+                elements.append(Element(value, attrs, stack[-1][1] if stack else -1))
+                places.setdefault(value, []).append(len(stack))
+                if value in _SCOPES:
+                    scopes.append(len(stack))
+                if value not in _INLINE:
+                    blocks.append(len(stack))
+                number = len(elements) - 1
+                stack.append((value, number))
+                hidden += value in _HIDDEN
+        else:
+            tag = "/" + value
+            open_at = places.get(value)
+            if open_at and not (value in _INLINE and blocks and blocks[-1] > open_at[-1]):
+                number = stack[open_at[-1]][1]
+                pop_to(open_at[-1])
+        if not inside and not hidden:
+            gap.append((tag, number))
+        if value not in _INLINE and value not in _HIDDEN and not hidden:
+            block, space = True, ""
+    pop_to(0)
+    return out, elements
+
+
+@lru_cache(maxsize=50_000)
+def _attribute_features(name: str, attrs: str) -> tuple[str, ...]:
+    out = [f"tag={name}"]
+    for key, a, b, c in _ATTRIBUTE.findall(attrs):
+        key, value = key.lower(), (a or b or c).lower()
+        if key in ("class", "id", "role", "itemprop"):
+            out += [f"token={token}" for token in value.split()]
+            for word in re.findall(r"[a-z]+", value):
+                out.append(f"word={word.rstrip('s')}")
+                if len(word) > 5:
+                    out.append(f"start={word[:5]}")
+        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or key == "aria-hidden" and value == "true":
+            out.append("hidden")
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs):
+        out.append("hidden")
+    return tuple(dict.fromkeys(out))
+
+
+def element_features(e: Element, within: bool, page_words: int) -> tuple[str, ...]:
+    """Its tag, the tokens and words of class, id, role and itemprop, whether it is hidden, its links, its share of the page, and whether an article or main is around it."""
+    out = _attribute_features(e.name, e.attrs)
+    more = [f"links={0 if not e.links else 1 if 2 * e.links < e.words else 2}"]
+    if 2 * e.words > page_words:
+        more.append(f"most tag={e.name}")
+    if within:
+        more.append(f"within tag={e.name}")
+    return (*out, *more)
+
+
+def _marked(features: tuple[str, ...]) -> bool:
+    """Whether an element says by an attribute or by its name what it holds; what plain containers hold is for the scan to tell."""
+    return any(not f.startswith(("tag=", "within ", "links=", "most ")) for f in features) or features[0] not in _PLAIN
 
 
 @dataclass
-class Piece:
-    """A text and the tags of the gap before it."""
+class Weights:
+    """Scores of element features (boilerplate if the sum with ``element_bias`` is above 0) and of a gap's tags (all below 0)."""
 
-    text: str
-    words: int
-    gap: list[str]
-    block: bool  # whether a new block begins with it
+    element: dict[str, float] = field(default_factory=dict)
+    element_bias: float = 0.0
+    tag: dict[str, float] = field(default_factory=dict)
+    unknown_tag: float = -0.5
+    #: What a word adds outside boilerplate, in a link there, and inside boilerplate.
+    word: float = 1.0
+    link_word: float = 0.5
+    boilerplate_word: float = -0.5
 
+    def boilerplate(self, features: tuple[str, ...]) -> bool:
+        return _marked(features) and self.element_bias + sum(self.element.get(f, 0.0) for f in features) > 0
 
-def pieces(html: str, is_boilerplate) -> list[Piece]:
-    out: list[Piece] = []
-    gap: list[str] = []
-    block, space = True, ""
-    for kind, value in _walk(html, is_boilerplate):
-        if kind == "text":
-            text = unescape(value)
-            if not text.strip():
-                space += text
-                continue
-            out.append(Piece(space + text, len(text.split()), gap, block))
-            gap, block, space = [], False, ""
-        else:
-            gap.append("skip" if kind == "skip" else value)
-            name = value.lstrip("/")
-            if kind == "tags" and name not in _INLINE or kind == "skip" and name not in _INLINE and name not in _RAW:
-                block, space = True, ""
+
+def _within(elements: list[Element]) -> list[bool]:
+    """For each element whether an article or main is around it."""
+    out: list[bool] = []
+    for e in elements:
+        out.append(e.parent >= 0 and (out[e.parent] or elements[e.parent].name in ("article", "main")))
     return out
 
 
+def boilerplate(found: list[Piece], elements: list[Element], weights: Weights) -> tuple[list[bool], list[list[str]]]:
+    """For each piece whether an element around it is boilerplate, and the gap's tags, each such element in it counted as one tag "skip"."""
+    total = sum(p.words for p in found)
+    out, top = [], []
+    for e, w in zip(elements, _within(elements), strict=True):
+        above = e.parent >= 0 and out[e.parent]
+        top.append(not above and e.words > 0 and weights.boilerplate(element_features(e, w, total)))
+        out.append(above or top[-1])
+    gaps = [[("skip" if out[n] and n >= 0 else t) for t, n in p.gap if n < 0 or not out[n] or top[n] and t[0] != "/"] for p in found]
+    return [p.element >= 0 and out[p.element] for p in found], gaps
+
+
 def best_region(scores: list[tuple[float, float]]) -> tuple[int, int]:
     """The slice of (gap before, text) scores with the largest sum; the gap before its first text does not count.
 
@@ -209,114 +291,68 @@ def best_region(scores: list[tuple[float, float]]) -> tuple[int, int]:
     return best if top > 0 else (0, 0)
 
 
+def _scores(found: list[Piece], out: list[bool], gaps: list[list[str]], weights: Weights) -> list[tuple[float, float]]:
+    tag, other = weights.tag.get, weights.unknown_tag
+    return [(sum(tag(t, other) for t in g), p.words * (weights.boilerplate_word if o else weights.link_word if p.link else weights.word)) for p, o, g in zip(found, out, gaps, strict=True)]
+
+
 def extract(html: str | None, weights: Weights) -> str:
     """The main text: blocks in page order joined by a space, white space within a block turned into one space."""
-    found = pieces(html or "", lambda name, attrs: weights.boilerplate(element_features(name, attrs)))
-    tag = weights.tag.get
-    scores = [(sum(tag(t, weights.unknown_tag) for t in p.gap), weights.word * p.words) for p in found]
-    start, end = best_region(scores)
+    found, elements = read_page(html or "")
+    out, gaps = boilerplate(found, elements, weights)
+    start, end = best_region(_scores(found, out, gaps, weights))
     parts: list[str] = []
-    for p in found[start:end]:
-        if p.block:
+    block = False
+    for p, o in zip(found[start:end], out[start:end], strict=True):
+        block |= p.block
+        if o:
+            continue
+        if block:
             parts.append(" ")
         parts.append(p.text)
+        block = False
     return " ".join("".join(parts).split())
 
 
 # -- labelled pages and training -------------------------------------------------------------------------------------
 
-_BOILERPLATE = (
-    "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", 'div role="navigation"', 'div role="banner"', 'div role="search"', 'div role="complementary"',
-    'div role="contentinfo"', 'div role="dialog"', 'div role="alert"', 'div aria-hidden="true"', "div hidden", 'div style="display:none"', 'ul class="menu"', 'ul class="nav"', 'ul class="breadcrumbs"',
-    'ul class="pagination"', 'ol class="breadcrumb"', 'ol class="comment-list"', 'section class="comments"', 'section id="comments"', 'section class="related"', 'p class="notice"', 'p class="ad"',
-    'p class="copyright"', 'span class="ad"', 'p class="comment"', 'article class="comment"', 'li class="comment"', 'section class="newsletter"', 'section class="sidebar"', 'section class="notice"',
-    *(f'div {key}="{word}"' for key in ("class", "id") for word in (
-        "ad ads advert advertisement ad-slot ad-banner sponsor sponsored promo promotion banner sidebar side-bar left-sidebar rail widget widgets menu main-menu navigation navbar nav topnav breadcrumb breadcrumbs "
-        "header site-header page-header masthead topbar footer site-footer page-footer bottom notice site-notice cookie cookies cookie-notice cookie-banner consent gdpr alert popup modal overlay newsletter "
-        "subscribe subscription signup login search search-form form contact-form share sharing social social-links related related-posts recommended recommendations more-stories trending popular comment "
-        "comments comment-list user-comments reader-comments post-comments reply replies respond disqus discussion pagination pager toolbar tags tag-list copyright legal disclaimer skip-link hidden "
-        "outbrain taboola tracking paywall"
-    ).split()),
-)
-_CONTENT = (
-    "article", "main", "section", "div", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'div class="story"',
-    'div class="main-content"', 'div id="main"', 'div class="text"', 'article class="post"', 'div itemprop="articleBody"', 'section class="body"', 'div class="page-content"', 'main role="main"',
-)
-_WRAPPERS = ("div", 'div class="container"', 'div id="page"', 'div class="wrapper"', 'div class="site"', 'div id="root"', 'div class="row"', 'div class="col"', 'div class="layout"')
-
-
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[bool]]]:
-    """Pages from templates, with a flag for each text in page order: whether it is content. Content words begin with "c"."""
-    r = random.Random(seed)
+LAYOUTS = Path(__file__).with_name("labelled_pages.txt")
+#: Pages made of each layout, and rounds of the perceptron over them, its margin in words, its step, how many times that
+#: where main text is lost, and what a tag costs at least.
+PAGES_EACH, ROUNDS, MARGIN, STEP, LOST, LEAST_COST = 24, 20, 1.0, 0.1, 10, -0.01
+
+
+def layouts() -> list[str]:
+    """The labelled layouts."""
+    return [part.strip() for part in LAYOUTS.read_text().split("------")[1:] if part.strip()]
+
+
+def labelled_page(layout: str, r: random.Random) -> str:
+    """A page of a layout with texts of other lengths. Words of the main text begin with "c", others with "b"."""
+    out, inside, above = [], 0, 0
+    for part in re.split(r"(\[\[|\]\]|\{\{|\}\}|#\d+)", layout):
+        if part in ("[[", "]]"):
+            inside = part == "[["
+        elif part in ("{{", "}}"):
+            above = part == "{{"
+        elif re.fullmatch(r"#\d+", part):
+            n = max(1, round(int(part[1:]) * r.uniform(0.6, 1.6)))
+            mark = "c" if inside and not above else "b"
+            out.append(" ".join(mark + "".join(r.choice("aeilnorst") for _ in range(r.randrange(1, 8))) for _ in range(n)))
+        else:
+            out.append(part)
+    return "".join(out)
 
-    def words(k: int, mark: str) -> str:
-        return " ".join(mark + "".join(r.choice("aeilnorst") for _ in range(r.randrange(1, 8))) for _ in range(k))
 
-    def wrap(opening: str, inner: str) -> str:
-        return f"<{opening}>{inner}</{opening.split()[0]}>"
+def labelled_pages(each: int = PAGES_EACH, seed: int = 11, chosen: list[str] | None = None) -> list[str]:
+    """``each`` pages of every layout (or of the chosen ones)."""
+    r = random.Random(seed)
+    return [labelled_page(layout, r) for _ in range(each) for layout in chosen or layouts()]
 
-    def boilerplate() -> str:
-        opening, kind = r.choice(_BOILERPLATE), r.randrange(4)
-        if kind == 0:
-            inner = "<ul>" + "".join(f'<li><a href="/{i}">{words(r.randrange(1, 4), "b")}</a></li>' for i in range(r.randrange(2, 9))) + "</ul>"
-        elif kind == 1:
-            inner = "".join(f"<p>{words(r.randrange(2, 30), 'b')}</p>" for _ in range(r.randrange(1, 4)))
-        elif kind == 2:
-            inner = f"<h3>{words(2, 'b')}</h3><p>{words(r.randrange(5, 25), 'b')} <a href='#'>{words(2, 'b')}</a></p>"
-        else:
-            inner = words(r.randrange(1, 12), "b")
-        return wrap(opening, inner)
-
-    def loose() -> str:
-        """Boilerplate in plain elements."""
-        return r.choice([f"<p>{words(r.randrange(1, 9), 'x')}</p>", f"<div>{words(r.randrange(1, 9), 'x')}</div>", f"<ul><li><a href='/'>{words(2, 'x')}</a></li></ul>"])
-
-    def block() -> str:
-        kind = r.choice([0, 0, 0, 0, *range(1, 14)])
-        text = words(r.choice([1, 3, 12, 30, 60]), "c")
-        if kind == 0:
-            return wrap(r.choice(["h1", "h2", "h3", "h4"]), words(r.randrange(1, 9), "c"))
-        if kind == 1:
-            return wrap(r.choice(["ul", "ol"]), "".join(f"<li>{words(r.randrange(1, 12), 'c')}</li>" for _ in range(r.randrange(1, 6))))
-        if kind == 2:
-            return f"<blockquote><p>{text}</p></blockquote>"
-        if kind == 3:
-            return f"<p>{text} <a href='/x'>{words(2, 'c')}</a> {text}</p>"
-        if kind == 4:
-            return f"<p><b>{text}<br><p>{text}</p>"
-        if kind == 5:
-            return f"<p>{text} <em>{words(2, 'c')}</em> {text} <strong>{words(1, 'c')}</strong></p>"
-        if kind == 6:
-            return "<table>" + "".join(f"<tr><td>{words(2, 'c')}</td><td>{words(3, 'c')}</td></tr>" for _ in range(r.randrange(1, 4))) + "</table>"
-        if kind == 7:
-            return f"<pre><code>{text}</code></pre>"
-        if kind == 8:
-            return f"<figure><img src='x.png'><figcaption>{text}</figcaption></figure>"
-        if kind == 9:
-            return wrap(r.choice(["div", "section"]), f"<p>{text}</p>")
-        return f"<p>{text}</p>"
-
-    out = []
-    for _ in range(n):
-        body = [block() for _ in range(r.randrange(1, 14))]
-        if r.random() < 0.8:
-            body.insert(0, wrap("h1", words(r.randrange(2, 10), "c")))
-        for _ in range(r.choice([0, 0, 0, 1, 2])):
-            body.insert(r.randrange(len(body) + 1), boilerplate())
-        page = wrap(r.choice(_CONTENT), "".join(body))
-        if r.random() < 0.3:
-            page = wrap(r.choice(_CONTENT[:4]), page)
-        before, after = "".join(boilerplate() for _ in range(r.randrange(0, 4))), "".join(boilerplate() for _ in range(r.randrange(0, 4)))
-        if r.random() < 0.4:
-            before += loose()
-        if r.random() < 0.4:
-            after = loose() + after
-        page = before + page + after
-        for _ in range(r.randrange(0, 3)):
-            page = wrap(r.choice(_WRAPPERS), page)
-        page = f"<!DOCTYPE html><html><head><title>{words(3, 'b')}</title></head><body>{page}</body></html>"
-        out.append((page, [t.split()[0][0] == "c" for k, t, _ in events(page) if k == "text" and t.strip()]))
-    return out
+
+def labelled_text(page: str) -> str:
+    """The main text of a labelled page."""
+    return " ".join(w for k, t, _ in events(page) if k == "text" for w in t.split() if w[0] == "c")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> np.ndarray:
@@ -333,60 +369,80 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 30) -> n
     return w
 
 
-@lru_cache(maxsize=1)
-def train() -> Weights:
-    """Weights from the labelled pages; the same every time."""
-    rows: list[tuple[list[str], bool]] = []
-    pages_ = labelled_pages()
-    for page, _ in pages_:
-        # An element that holds content is none of boilerplate; one that holds marked boilerplate only is, if its parent holds content.
-        stack: list[list] = []  # name, attributes, marks of its texts, boilerplate elements right below
-        for kind, value, attrs in events(page):
-            if kind == "start" and value not in _VOID and value not in _RAW:
-                stack.append([value, attrs, set(), []])
-            elif kind == "text" and value.strip():
-                for e in stack:
-                    e[2].add(value.split()[0][0])
-            elif kind == "end" and any(e[0] == value for e in stack):
-                while stack:
-                    name, attrs2, marks, below = stack.pop()
-                    if "c" in marks:
-                        rows.append((element_features(name, attrs2), False))
-                        rows.extend(below)
-                    elif marks == {"b"} and stack:
-                        stack[-1][3].append((element_features(name, attrs2), True))
-                    if name == value:
-                        break
-    names = sorted({f for features, _ in rows for f in features})
+def _labelled_elements(found: list[Piece], elements: list[Element]) -> Iterator[tuple[tuple[str, ...], bool]]:
+    """Features of elements and whether they are boilerplate: an element with main text is not, one without is if it lies right in one with, or in none."""
+    held = [False] * len(elements)
+    for p in found:
+        e = p.element if p.text.split()[0][0] == "c" else -1
+        while e >= 0 and not held[e]:
+            held[e] = True
+            e = elements[e].parent
+    total = sum(p.words for p in found)
+    for e, within, main in zip(elements, _within(elements), held, strict=True):
+        features = element_features(e, within, total)
+        if e.words and _marked(features) and (main or e.parent < 0 or held[e.parent]):
+            yield features, not main
+
+
+def train(chosen: tuple[str, ...] | None = None) -> Weights:
+    """Weights from the labelled layouts (or the chosen ones); the same every time."""
+    return _train(tuple(layouts()) if chosen is None else chosen)
+
+
+@lru_cache(maxsize=4)
+def _train(chosen: tuple[str, ...]) -> Weights:
+    pages = [read_page(page) for page in labelled_pages(chosen=list(chosen))]
+    counts: Counter = Counter(row for found, elements in pages for row in _labelled_elements(found, elements))
+    names = sorted({f for features, _ in counts for f in features})
     at = {f: i for i, f in enumerate(names)}
-    x, y = np.zeros((len(rows), len(names))), np.array([float(b) for _, b in rows])
-    for i, (features, _) in enumerate(rows):
-        for f in features:
-            x[i, at[f]] = 1
-    w = _logistic(x, y, 1e-5)
+    x, y = np.zeros((sum(counts.values()), len(names))), np.empty(sum(counts.values()))
+    n = 0
+    for (features, label), times in sorted(counts.items()):
+        x[n : n + times, [at[f] for f in features]] = 1
+        y[n : n + times] = label
+        n += times
+    w = _logistic(x, y, 1e-4)
     weights = Weights(dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]))
 
-    # Gaps between texts of the content against gaps at its edges, by tag.
-    inside: dict[str, int] = {}
-    edge: dict[str, int] = {}
-    for page, _ in pages_:
-        found = pieces(page, lambda name, attrs: weights.boilerplate(element_features(name, attrs)))
-        marks = [p.text.split()[0][0] for p in found]
-        for p, a, b in zip(found[1:], marks, marks[1:], strict=False):
-            if "c" in (a, b):
-                counts = inside if a == b else edge
-                for t in p.gap:
-                    counts[t] = counts.get(t, 0) + 1
-    for t in sorted(inside.keys() | edge.keys()):
-        odds = np.log((inside.get(t, 0) + 0.5) / (edge.get(t, 0) + 0.5))
-        weights.tag[t] = min(-0.01, WORDS_PER_UNIT * (float(odds) + 1))
+    # What tags cost: a region that is wrong by the margin makes the tags that only it crosses dearer and those that only the labelled one crosses cheaper.
+    total: Counter = Counter()
+    marked = [(found, *boilerplate(found, elements, weights)) for found, elements in pages]
+    weights.tag = dict.fromkeys(sorted({t for _, _, gaps in marked for g in gaps for t in g}), LEAST_COST)
+    for _ in range(ROUNDS):
+        for found, out, gaps in marked:
+            main = [i for i, p in enumerate(found) if p.text.split()[0][0] == "c"]
+            first, last = main[0], main[-1] + 1
+            scores = [(g, s + (0.0 if out[i] else -MARGIN if first <= i < last else MARGIN)) for i, (g, s) in enumerate(_scores(found, out, gaps, weights))]
+            start, end = best_region(scores)
+            kept = [i for i in range(start, end) if not out[i]]
+            if kept != [i for i in range(first, last) if not out[i]]:  # boilerplate at the edges changes nothing
+                moved: Counter = Counter()
+                words = links = 0
+                for sign, a, b in ((1, first, last), (-1, start, end)):
+                    words += sign * sum(p.words for p, o in zip(found[a:b], out[a:b], strict=True) if o)
+                    links += sign * sum(p.words for p, o in zip(found[a:b], out[a:b], strict=True) if p.link and not o)
+                    for g in gaps[a + 1 : b]:
+                        for t in g:
+                            moved[t] += sign
+                step = STEP * (LOST if not kept or kept[0] > first or kept[-1] < last - 1 else 1)
+                for t, change in moved.items():
+                    weights.tag[t] = min(LEAST_COST, weights.tag[t] + step * max(-3, min(3, change)))
+                weights.boilerplate_word = min(LEAST_COST, weights.boilerplate_word + step / 10 * max(-3, min(3, words)))
+                weights.link_word = min(weights.word, weights.link_word + step / 3 * max(-3, min(3, links)))
+        total.update(weights.tag)
+        total[0] += weights.boilerplate_word
+        total[1] += weights.link_word
+    weights.boilerplate_word, weights.link_word = total.pop(0) / ROUNDS, total.pop(1) / ROUNDS
+    weights.tag = {t: v / ROUNDS for t, v in total.items()}
     return weights
 
 
-def extract_pages(pages_: DataFrame, weights: Weights | None = None) -> DataFrame:
+def extract_pages(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url, text, n_chars of each row of (page_id, url, html).
 
-    Null and empty html give empty text. Cut-off and unclosed markup is read as far as it goes. Repeated rows keep a row each.
+    Null and empty html give empty text. Cut-off and unclosed markup is read as far as it goes. Repeated rows keep a row each, an
+    empty table gives an empty one, and other columns are not looked at, whatever their names. A page of any length is read in
+    time linear in it, however deep its elements lie.
     """
     weights = weights or train()
 
@@ -397,7 +453,7 @@ def extract_pages(pages_: DataFrame, weights: Weights | None = None) -> DataFram
                 texts = [extract(h, weights) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages_.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return map_batches(rows, run, "page_id long, url string, text string, n_chars long")
 
 
