@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.RECORDS_SQL, "op8_chat": chat.DIGESTS_SQL, "op10_html_extraction": html_extract.GIVEN_PAGES_SQL}
+    return {"op2_quality_rules": quality_rules.JUDGE_SQL, "op5_warc": warc.RECORDS_SQL, "op8_chat": chat.DIGESTS_SQL, "op10_html_extraction": html_extract.GIVEN_PAGES_SQL}
