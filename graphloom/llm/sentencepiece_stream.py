@@ -61,8 +61,12 @@ class Model:
         self.cut_at_marks = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: The same of line feeds, which then stand alone.
         self.cut_at_lines = not any("\n" in p for p in self.ids)
+        #: The longest piece by its last two characters.
+        self._reach: dict[str, int] = {}
+        for p in self.ids:
+            self._reach[p[-2:]] = max(len(p), self._reach.get(p[-2:], 1))
         self._stable: dict[tuple[str, str], bool] = {}
-        self._ends_with: dict[str, str] = {}
+        self._backpointers: dict[str, int] = {}
         self._halves: dict[int, list[str]] = {}
         self._starts: dict[str, list] = {}
         self._ends: dict[str, list] = {}
@@ -140,60 +144,48 @@ class Model:
             self._stable[left, right] = known
         return known
 
-    def _last_piece(self, text: str) -> str:
-        """The last piece of the surviving path over a text no longer than the window.
-
-        It depends on the text alone, so what words begin with alike is searched once; boundaries that no candidate piece starts
-        from are not looked at.
-        """
-        known = self._ends_with.get(text)
-        if known is None:
-            ids, n = self.ids, len(text)
-            for begin in range(max(0, n - self.longest), n):
-                piece = text[begin:]
-                if (piece in ids or begin == n - 1) and (not begin or self.stable(self._last_piece(text[:begin]), piece)):
-                    break
-            if len(self._ends_with) >= CACHE_ENTRIES:
-                self._ends_with.clear()
-            known = self._ends_with[text] = piece
-        return known
-
-    def _short(self, text: str) -> list[int]:
-        path, out = [], []
-        while text:
-            piece = self._last_piece(text)
-            path.append(piece)
-            text = text[: -len(piece)]
-        for piece in reversed(path):
-            self._emit(piece, out)
-        return out
-
     # -- the search --------------------------------------------------------------------------------------------------
 
-    def _extend(self, text: str, start: int, end: int, left: str, last: dict, cost: dict) -> None:
-        """Set the backpointer of boundary ``end``: where the surviving path's last piece begins.
+    def _pointer(self, text: str, start: int, end: int, left: str, last: dict) -> int:
+        """A BPE model's backpointer of boundary ``end``; those of a text's beginning are looked at as they are needed."""
+        ids, known = self.ids, self._stable
+        # No piece that ends in these two characters is longer than their reach.
+        reach = self._reach.get(text[end - 2 : end], 1) if end - start > 1 else 1
+        for begin in range(max(start, end - reach), end):
+            piece = text[begin:end]
+            if piece in ids or begin == end - 1:
+                before = left if begin == start else text[last[begin] if begin in last else self._shared(text[:begin]) : begin]
+                if not before or (self.stable(before, piece) if (fits := known.get((before, piece))) is None else fits):
+                    return begin
+        raise AssertionError("a boundary without a path")
+
+    def _shared(self, text: str) -> int:
+        """The backpointer at the end of a beginning that is no longer than the longest piece; it depends on nothing else, so it is remembered."""
+        begin = self._backpointers.get(text)
+        if begin is None:
+            begin = self._backpointers[text] = self._pointer(text, 0, len(text), "", {})
+        return begin
+
+    def _extend(self, text: str, start: int, first: int, stop: int, left: str, last: dict, cost: dict) -> None:
+        """Set the backpointers of boundaries ``first`` to ``stop``: where the surviving path's last piece begins.
 
         ``left`` is the piece before ``start`` ("" at the text's start).
         """
-        ids = self.ids
+        ids, scores = self.ids, self.scores
         if self.bpe:
+            for end in range(first, stop + 1):
+                last[end] = self._pointer(text, start, end, left, last)
+            return
+        for end in range(first, stop + 1):
+            best = None
             for begin in range(max(start, end - self.longest), end):
-                piece = text[begin:end]
-                if piece in ids or begin == end - 1:
-                    before = left if begin == start else text[last[begin] : begin]
-                    if not before or self.stable(before, piece):
-                        last[end] = begin
-                        return
-            raise AssertionError("a boundary without a path")
-        best = None
-        for begin in range(max(start, end - self.longest), end):
-            if begin not in cost:
-                continue
-            k = ids.get(text[begin:end])
-            score = self.scores[k] if k is not None else self.unknown_score if begin == end - 1 else None
-            if score is not None and (best is None or cost[begin] + score > best):
-                best = cost[end] = cost[begin] + score
-                last[end] = begin
+                if begin not in cost:
+                    continue
+                k = ids.get(text[begin:end])
+                score = scores[k] if k is not None else self.unknown_score if begin == end - 1 else None
+                if score is not None and (best is None or cost[begin] + score > best):
+                    best = cost[end] = cost[begin] + score
+                    last[end] = begin
 
     def _emit(self, text: str, out: list[int]) -> None:
         k = self.ids.get(text)
@@ -205,45 +197,64 @@ class Model:
             out.append(self.unknown)
 
     def search(self, text: str, window: int | None = None) -> Iterator[list[int]]:
-        """Yield ids as they are decided. ``window``: boundaries kept before looking for a meeting point."""
+        """Yield ids as they are decided. ``window``: boundaries kept before looking for a meeting point.
+
+        Near its beginning a text's backpointers depend on its first characters alone, which many texts share: within the longest
+        piece's length they are remembered, and worked out where a path or a candidate piece needs them.
+        """
         window = max(window or 4 * self.longest, 2)
-        last: dict[int, int] = {0: 0}
+        least, size = window, len(text)
         cost: dict[int, float] = {0: 0.0}
-        start, left, least = 0, "", window
-        for end in range(1, len(text) + 1):
-            self._extend(text, start, end, left, last, cost)
-            if end - start >= window or end == len(text):
-                if end == len(text):
-                    meet = end
-                else:
-                    fronts = set(range(max(start, end - self.longest + 1), end + 1))
-                    while len(fronts) > 1:  # step back from the farthest until all paths are in one boundary
-                        far = max(fronts)
-                        fronts.discard(far)
-                        fronts.add(last[far] if far > start else start)
-                    meet = fronts.pop()
-                if meet > start:
-                    path, at = [], meet
-                    while at > start:
-                        path.append((last[at], at))
-                        at = last[at]
-                    ids: list[int] = []
-                    for a, b in reversed(path):
-                        self._emit(text[a:b], ids)
-                    yield ids
-                    # The boundary that was met keeps its last piece: it is the next piece's neighbour.
-                    floor, keep = cost.get(meet, 0.0), last[meet]
-                    last = {at: begin for at, begin in last.items() if at >= meet}
-                    cost = {at: c - floor for at, c in cost.items() if at >= meet}
-                    start, left, window = meet, text[keep:meet], least
+        start, left = 0, ""
+        if len(self._backpointers) >= CACHE_ENTRIES:
+            self._backpointers.clear()
+        last: dict[int, int] = {0: 0}
+        shared = min(self.longest, window - 1, size) if self.bpe else 0
+        end = shared
+        while start < size:
+            stop = min(size, start + window)
+            if end < stop:
+                self._extend(text, start, end + 1, stop, left, last, cost)
+            end = stop
+            if end == size:
+                meet = end
+            else:
+                fronts = set(range(max(start, end - self.longest + 1), end + 1))
+                while len(fronts) > 1:  # step back from the farthest until all paths are in one boundary
+                    far = max(fronts)
+                    fronts.discard(far)
+                    fronts.add((last[far] if far in last else self._shared(text[:far])) if far > start else start)
+                meet = fronts.pop()
+            if meet == start:
+                window = 2 * (end - start)  # no meeting point yet: look again after as much text
+                continue
+            path, at = [], meet
+            while at > start:
+                begin = last[at] if at in last else self._shared(text[:at])
+                path.append(text[begin:at])
+                at = begin
+            ids: list[int] = []
+            for piece in reversed(path):
+                k = self.ids.get(piece)
+                if k is None:
+                    self._emit(piece, ids)
                 else:
-                    window = 2 * (end - start)  # no meeting point yet: look again after as much text
+                    ids.append(k)
+            yield ids
+            if meet == size:
+                return
+            # The boundary that was met keeps its last piece: it is the next piece's neighbour.
+            floor, keep = cost.get(meet, 0.0), meet - len(path[0])
+            last = {at: last[at] if at in last else self._shared(text[:at]) for at in range(meet, end + 1)}
+            cost = {at: c - floor for at, c in cost.items() if at >= meet}
+            start, left, window = meet, text[keep:meet], least
 
     def _encode_marked(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks, part by part between certain boundaries."""
         out: list[int] = []
         for chunk in self._split(text):
-            out += self._short(chunk) if self.bpe and len(chunk) <= self.longest else [i for part in self.search(chunk) for i in part]
+            for ids in self.search(chunk):
+                out += ids
         return out
 
     def encode_bytes(self, text: str) -> bytes:
@@ -277,7 +288,7 @@ class Model:
 
     def forget(self) -> None:
         """Empty the caches: a worker keeps the model for its next task, but not its words through other stages."""
-        for cache in (self._words, self._older, self._ends_with, self._stable):
+        for cache in (self._words, self._older, self._backpointers, self._stable):
             cache.clear()
 
     def encode(self, text: str) -> list[int]:
@@ -305,8 +316,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, n_tokens, decoded_sha256 and round_trip of every text.
 
     ``decoded_sha256`` is of the text decoded from the ids, ``round_trip`` whether that is the text again (true but for texts that
-    hold the mark U+2581 itself, which decode to a space). Null and empty texts have no ids. Repeated rows keep a row each. The
-    model file must be present on every executor at ``model_path``.
+    hold the mark U+2581 itself, which decode to a space). Null and empty texts have no ids; a text of any length is
+    encoded in a bounded window. Repeated rows keep a row each, an empty table gives an empty one, and other columns are not looked
+    at, whatever their names. The model file must be present on every executor at ``model_path``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,14 @@ def test_window_does_not_change_ids_and_stays_bounded(data):
         assert len(parts) > 5 and max(map(len, parts)) <= 2 * window
 
 
+def test_every_chunk_goes_through_the_search(data, monkeypatch):
+    model, searched = Model(data), []
+    search = model.search
+    monkeypatch.setattr(model, "search", lambda text, *a: searched.append(text) or search(text, *a))
+    model.encode("one two  three\nfour " + "long" * 50)
+    assert "".join(searched) == "▁one▁two▁▁three\nfour▁" + "long" * 50
+
+
 def test_unigram_scores(data):
     """The sum of piece scores is the library's best one (its ids but for ties)."""
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -61,7 +69,7 @@ def test_unigram_scores(data):
 
 def test_documents(spark):
     rows = [(1, None), (2, ""), (3, "Hello world\n" * 3), (3, "Hello world\n" * 3), (None, "x"), (4, "mark ▁ inside"), (5, "y" * 100_000)]
-    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int")
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, ids int, n_tokens string")  # clashing names
     got = encode_documents(docs, PATH).collect()
     library = spm.SentencePieceProcessor(model_file=PATH)
     assert sorted((r.doc_id or 0, r.ids) for r in got) == sorted((i or 0, library.encode(t or "")) for i, t in rows)
