@@ -4,19 +4,24 @@ A store is a folder of shards in ascending key order and a manifest:
 
 ``shard-NNNNN.ids``  the ids of all documents of the shard, one after the other, little-endian unsigned 16-bit integers if
                      every id fits, else 32-bit ones, no header;
-``shard-NNNNN.idx``  "GLOOMIX1", a 4-byte length, a JSON header naming the arrays that follow, then the arrays: keys and
-                     offsets in document order, and by hash slot the documents' ordinals and 32-bit fingerprints, with the bit
-                     levels of the hash;
+``shard-NNNNN.idx``  a header of 4096 bytes: "GLOOMIX2", the counts of documents, keys, rows without a key and further rows, the
+                     bytes of an id, and the place and length of each bit level of the hash; then, at places that follow from
+                     the header, the levels (64-bit words, each with the number of bits set before it), an entry for each
+                     hash slot (64-bit fingerprint, offset and number of ids), the documents' keys in their order, and the
+                     further rows (ordinal, offset, number of ids): those without a key, and repeats of a key;
 ``manifest.json``    the shards' key ranges, document and token counts, and first token positions.
 
 The hash is built level by level: keys that fall alone on a bit of a level own it, the others go to the next level. A key's
-slot is the rank of its bit, so looking a key up takes a fixed number of steps, and the fingerprint tells absent keys.
+slot is the rank of its bit, so looking a key up reads the header, a word for each of a few levels, one entry and the
+document's ids, whatever the shard's size; the fingerprint tells absent keys.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -30,7 +35,12 @@ from pyspark.sql import functions as F
 from .common import filesystem, map_batches, write_atomically
 
 END = 1
-_MAGIC = b"GLOOMIX1"
+_MAGIC, _HEADER, _COUNTS = b"GLOOMIX2", 4096, struct.Struct("<8s4qii")
+_WORD = np.dtype([("bits", "<u8"), ("before", "<i8")])
+_ENTRY = np.dtype([("mark", "<u8"), ("offset", "<i8"), ("size", "<i8")])
+_FURTHER = np.dtype([("ordinal", "<i8"), ("offset", "<i8"), ("size", "<i8")])
+#: UTF-8 bytes of text that a shard holds, about, and the least for which a shard of its own is made to keep all cores busy.
+SHARD_BYTES, LEAST_SHARD_BYTES = 128 << 20, 4 << 20
 #: Bytes of ids that a reader holds at once, unless one document has more.
 READ_BYTES = 8 << 20
 #: Entries that a worker's cache of encoded words holds before it is emptied, and the longest word kept.
@@ -69,7 +79,7 @@ class PerfectHash:
             np.bitwise_or.at(words, (own >> np.uint64(6)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
             levels.append(words)
             rest = rest[~alone]
-            if len(levels) > 200:
+            if len(levels) > 240:
                 raise ValueError("keys are not distinct")
         return cls(levels)
 
@@ -92,50 +102,90 @@ class PerfectHash:
 
 
 def _fingerprints(keys: np.ndarray) -> np.ndarray:
-    return (_hash(keys, 1_000_003) >> np.uint64(32)).astype(np.uint32)
+    return _hash(keys, 1_000_003)
 
 
 class ShardIndex:
-    """Keys to ordinals and offsets of one shard. Rows without a key come first; of a repeated key, its first row is found."""
-
-    def __init__(self, keys: np.ndarray, offsets: np.ndarray, n_null: int, dtype: str, hashed=None, ordinals=None, marks=None):
-        self.keys, self.offsets, self.n_null, self.dtype = keys, offsets, n_null, np.dtype(dtype)
-        if hashed is None:
-            distinct, first = np.unique(keys[n_null:], return_index=True)
-            hashed = PerfectHash.build(distinct)
-            slots = hashed.slots(distinct)
-            ordinals, marks = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.uint32)
-            ordinals[slots], marks[slots] = first + n_null, _fingerprints(distinct)
-        self.hashed, self.ordinals, self.marks = hashed, ordinals, marks
+    """Keys to offsets and sizes of one shard. Rows without a key come first; of a repeated key, the hash gives the first row."""
+
+    def __init__(self, keys: np.ndarray, n_null: int, width: int, hashed: PerfectHash, entries: np.ndarray, further: np.ndarray):
+        self.keys, self.n_null, self.width, self.hashed, self.entries, self.further = keys, n_null, width, hashed, entries, further
+
+    @classmethod
+    def build(cls, keys: np.ndarray, sizes: np.ndarray, n_null: int, width: int) -> ShardIndex:
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+        distinct, first = np.unique(keys[n_null:], return_index=True)
+        first = first + n_null
+        hashed = PerfectHash.build(distinct)
+        entries = np.zeros(len(distinct), _ENTRY)
+        slots = hashed.slots(distinct)
+        entries["mark"][slots], entries["offset"][slots], entries["size"][slots] = _fingerprints(distinct), offsets[first], sizes[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        further = np.zeros(len(rest), _FURTHER)
+        further["ordinal"], further["offset"], further["size"] = rest, offsets[rest], sizes[rest]
+        return cls(keys, n_null, width, hashed, entries, further)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, sizes) of all documents in their order: those of keys by the hash, the others from the further rows."""
+        keyed = np.ones(len(self.keys), bool)
+        keyed[self.further["ordinal"]] = False
+        found = self.find(self.keys[keyed])
+        if (found < 0).any():
+            raise ValueError("the index does not give its documents")
+        offsets, sizes = np.empty(len(self.keys), np.int64), np.empty(len(self.keys), np.int64)
+        for column, name in ((offsets, "offset"), (sizes, "size")):
+            column[keyed], column[self.further["ordinal"]] = self.entries[name][found], self.further[name]
+        return offsets, sizes
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The ordinals of keys, -1 where absent (an absent key is taken for another with probability 2**-32)."""
+        """The slots of keys, -1 where absent (an absent key is taken for another with probability 2**-64)."""
         keys = np.asarray(keys, np.int64)
         if not self.hashed.size:
             return np.full(len(keys), -1, np.int64)
         slots = self.hashed.slots(keys)
-        good = (slots >= 0) & (self.marks[slots] == _fingerprints(keys))
-        return np.where(good, self.ordinals[slots], -1)
+        return np.where((slots >= 0) & (self.entries["mark"][slots] == _fingerprints(keys)), slots, -1)
 
     def dump(self) -> bytes:
-        arrays = {"keys": self.keys, "offsets": self.offsets, "ordinals": self.ordinals, "marks": self.marks}
-        arrays |= {f"level{i}": x for i, x in enumerate(self.hashed.levels)}
-        arrays = {k: np.ascontiguousarray(v).astype(v.dtype.newbyteorder("<"), copy=False) for k, v in arrays.items()}
-        head = {"n_null": self.n_null, "dtype": self.dtype.str, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}
-        text = json.dumps(head).encode()
-        return b"".join([_MAGIC, len(text).to_bytes(4, "little"), text, *(v.tobytes() for v in arrays.values())])
+        place, table, levels = _HEADER, [], []
+        for bits, before in zip(self.hashed.levels, self.hashed.ranks, strict=True):
+            words = np.zeros(len(bits), _WORD)
+            words["bits"], words["before"] = bits, before
+            table.append((place, len(bits)))
+            levels.append(words.tobytes())
+            place += words.nbytes
+        head = _COUNTS.pack(_MAGIC, len(self.keys), len(self.entries), self.n_null, len(self.further), self.width, len(table)) + b"".join(struct.pack("<2q", *x) for x in table)
+        return b"".join([head.ljust(_HEADER, b"\0"), *levels, self.entries.tobytes(), self.keys.astype("<i8").tobytes(), self.further.tobytes()])
 
     @classmethod
     def load(cls, data: bytes) -> ShardIndex:
-        if data[:8] != _MAGIC:
+        head = _Head(data)
+        words = [np.frombuffer(data, _WORD, n, at) for at, n in head.levels]
+        further = np.frombuffer(data, _FURTHER, head.n_further, head.keys_at + 8 * head.n_docs)
+        return cls(np.frombuffer(data, "<i8", head.n_docs, head.keys_at), head.n_null, head.width, PerfectHash([w["bits"] for w in words]), np.frombuffer(data, _ENTRY, head.n_keys, head.entries_at), further)
+
+
+class _Head:
+    """The counts and places in an index's header."""
+
+    def __init__(self, data: bytes):
+        magic, self.n_docs, self.n_keys, self.n_null, self.n_further, self.width, n = _COUNTS.unpack_from(data)
+        if magic != _MAGIC:
             raise ValueError("not a shard index")
-        end = 12 + int.from_bytes(data[8:12], "little")
-        head, arrays = json.loads(data[12:end]), {}
-        for name, kind, n in head["arrays"]:
-            arrays[name] = np.frombuffer(data, kind, n, end)
-            end += arrays[name].nbytes
-        levels = [arrays[f"level{i}"] for i in range(len(arrays) - 4)]
-        return cls(arrays["keys"], arrays["offsets"], head["n_null"], head["dtype"], PerfectHash(levels), arrays["ordinals"], arrays["marks"])
+        self.levels = [struct.unpack_from("<2q", data, _COUNTS.size + 16 * i) for i in range(n)]
+        self.entries_at = self.levels[-1][0] + 16 * self.levels[-1][1] if self.levels else _HEADER
+        self.keys_at = self.entries_at + _ENTRY.itemsize * self.n_keys
+
+    def find(self, key: int, read) -> tuple[int, int] | None:
+        """(offset, size) of a key, by ``read(place, bytes)`` of a word for each level and one entry."""
+        wanted = np.array([key], np.int64)
+        for level, (at, n) in enumerate(self.levels):
+            bit = int(_hash(wanted, level)[0] % np.uint64(64 * n))
+            bits, before = struct.unpack("<Qq", read(at + 16 * (bit >> 6), 16))
+            if bits >> (bit & 63) & 1:
+                slot = before + (bits & ((1 << (bit & 63)) - 1)).bit_count()
+                mark, offset, size = struct.unpack("<Qqq", read(self.entries_at + _ENTRY.itemsize * slot, _ENTRY.itemsize))
+                return (offset, size) if mark == int(_fingerprints(wanted)[0]) else None
+        return None
 
 
 class WordEncoder:
@@ -234,12 +284,20 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[bytes]], list[bytes]]]) -> list[dict]:
+def _shards(docs: DataFrame, shard_bytes: int) -> int:
+    """How many shards the texts make: enough that each holds about ``shard_bytes``, and while they are small, that all cores have one."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(1, -(-total // shard_bytes), min(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // LEAST_SHARD_BYTES)))
+
+
+def write_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list[bytes]], list[bytes]]], shard_bytes: int = SHARD_BYTES) -> list[dict]:
     """Write the ids of every row of ``docs`` (doc_id, text) in ascending doc_id order below ``path``; returns the shards.
 
     ``encoder()`` gives, once in a task, the function from UTF-8 texts to id bytes; it has a ``dtype``. Null texts are
-    empty; rows without doc_id come first; rows that repeat one follow each other in the order of their texts' hashes.
-    One short row for each shard comes to the driver. A task that runs again writes the same files again.
+    empty; rows without doc_id come first; rows that repeat one follow each other in the order of their texts' hashes. An empty
+    table makes a store without documents; other columns are not looked at, whatever their names. A shard holds about
+    ``shard_bytes`` of text, so its index fits a task's memory at every size, or one document that is longer. One short row for
+    each shard comes to the driver. A task that runs again writes the same files again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +318,14 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[list
 
         write_atomically(f"{path}/shard-{shard:05d}.ids", ids)
         all_keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        index = ShardIndex(all_keys, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64), n_null, encode.dtype.str)
+        index = ShardIndex.build(all_keys, np.array(sizes, np.int64), n_null, encode.dtype.itemsize)
         write_atomically(f"{path}/shard-{shard:05d}.idx", lambda stream: stream.write(index.dump()))
         known = all_keys[n_null:]
         row = {"shard": [shard], "n_docs": [len(all_keys)], "n_tokens": [int(sum(sizes))], "low": [int(known[0]) if len(known) else None], "high": [int(known[-1]) if len(known) else None]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([(k, pa.int64()) for k in row]))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
-    placed = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    placed = rows.repartitionByRange(_shards(docs, shard_bytes), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     shards = sorted((r.asDict() for r in map_batches(placed, run, "shard long, n_docs long, n_tokens long, low long, high long").collect()), key=lambda r: r["shard"])
     start = 0
     for row in shards:
@@ -286,7 +344,8 @@ def _read(path: str) -> bytes:
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, read from the files through their index.
 
-    ``start`` counts the ids of all documents before; ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers.
+    ``start`` counts the ids of all documents before; ``ids_crc32`` is of the ids as little-endian unsigned 32-bit integers. Each
+    document's place comes from its key's entry in the hash.
     """
     shards = json.loads(_read(f"{path}/manifest.json"))
     firsts = [s["start"] for s in shards]
@@ -304,26 +363,19 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
 def _shard_rows(path: str, shard: int, first: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     index = ShardIndex.load(_read(f"{path}/shard-{shard:05d}.idx"))
-    n = len(index.keys)
-    keys = index.keys
-    # Rows by keyed access: a key's first row is found by the hash, repeats follow it.
-    ordinals = np.arange(n)
-    new = np.ones(n, bool)
-    new[index.n_null + 1 :] = keys[index.n_null + 1 :] != keys[index.n_null : n - 1] if n > index.n_null else new[index.n_null + 1 :]
-    heads = ordinals[index.n_null :][new[index.n_null :]]
-    if not np.array_equal(index.find(keys[heads]), heads):
-        raise ValueError(f"the index of shard {shard} does not give its documents")
-    offsets, width = index.offsets, index.dtype.itemsize
+    n, keys, width = len(index.keys), index.keys, index.width
+    offsets, sizes = index.rows()
+    ends = offsets + sizes
     system, at = filesystem(f"{path}/shard-{shard:05d}.ids")
     with system.open_input_file(at) as file:
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + READ_BYTES // width, "right")) - 1)
-            data = np.frombuffer(file.read_at(int(offsets[j] - offsets[i]) * width, int(offsets[i]) * width), index.dtype)
-            parts = [data[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]] for k in range(i, j)]
+            j = max(i + 1, int(np.searchsorted(ends, offsets[i] + READ_BYTES // width, "right")))
+            data = np.frombuffer(file.read_at(int(ends[j - 1] - offsets[i]) * width, int(offsets[i]) * width), f"<u{width}")
+            parts = [data[a:b] for a, b in zip(offsets[i:j] - offsets[i], ends[i:j] - offsets[i], strict=True)]
             columns = [
                 pa.array(keys[i:j], pa.int64(), mask=np.arange(i, j) < index.n_null), pa.array(first + offsets[i:j], pa.int64()),
-                pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
+                pa.array(sizes[i:j], pa.int64()), pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
             ]
             if with_ids:
                 columns.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
@@ -331,20 +383,33 @@ def _shard_rows(path: str, shard: int, first: int, with_ids: bool) -> Iterator[p
             i = j
 
 
+class Store:
+    """Keyed access to a written store: the manifest is read once, a key's shard found by bisection, its ids with a few short reads."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.shards = [s for s in json.loads(_read(f"{path}/manifest.json")) if s["low"] is not None]
+        self.highs = [s["high"] for s in self.shards]
+
+    def get(self, key: int) -> list[int] | None:
+        """The ids of the document with this key (the first, if it is repeated), None if there is none."""
+        at = bisect.bisect_left(self.highs, key)
+        if at == len(self.shards) or key < self.shards[at]["low"]:
+            return None
+        name = f"{self.path}/shard-{self.shards[at]['shard']:05d}"
+        system, index = filesystem(f"{name}.idx")
+        with system.open_input_file(index) as file:
+            read = lambda place, n: file.read_at(n, place)
+            head = _Head(read(0, _HEADER))
+            found = head.find(key, read)
+        if found is None:
+            return None
+        offset, size = found
+        with system.open_input_file(filesystem(f"{name}.ids")[1]) as file:
+            return np.frombuffer(file.read_at(size * head.width, offset * head.width), f"<u{head.width}").tolist()
+
+
 def lookup(path: str, keys: list[int]) -> dict[int, list[int]]:
-    """The ids of the documents with these keys; absent keys are left out. Reads one index and one range for each."""
-    shards = [s for s in json.loads(_read(f"{path}/manifest.json")) if s["low"] is not None]
-    found = {}
-    for s in shards:
-        own = [k for k in keys if s["low"] <= k <= s["high"] and k not in found]
-        if not own:
-            continue
-        index = ShardIndex.load(_read(f"{path}/shard-{s['shard']:05d}.idx"))
-        system, at = filesystem(f"{path}/shard-{s['shard']:05d}.ids")
-        with system.open_input_file(at) as file:
-            for key, ordinal in zip(own, index.find(np.array(own, np.int64)), strict=True):
-                if ordinal >= 0:
-                    a, b = index.offsets[ordinal : ordinal + 2]
-                    width = index.dtype.itemsize
-                    found[key] = np.frombuffer(file.read_at(int(b - a) * width, int(a) * width), index.dtype).tolist()
-    return found
+    """The ids of the documents with these keys; absent keys are left out."""
+    store = Store(path)
+    return {key: ids for key in keys if (ids := store.get(key)) is not None}

@@ -8,7 +8,7 @@ P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
 from graphloom.llm.common import work_path  # noqa: E402
-from graphloom.llm.token_store import PerfectHash, ShardIndex, WordEncoder, lookup, read_store, word_encoder, write_store  # noqa: E402
+from graphloom.llm.token_store import PerfectHash, ShardIndex, Store, WordEncoder, _Head, lookup, read_store, word_encoder, write_store  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -39,10 +39,36 @@ def test_perfect_hash():
 
 
 def test_index_round_trip():
-    keys = np.array([0, 0, 3, 3, 3, 9], np.int64)
-    index = ShardIndex.load(ShardIndex(keys, np.arange(7), 2, "<u2").dump())
-    assert index.find(np.array([3, 9, 4, 0])).tolist() == [2, 5, -1, -1]
-    assert ShardIndex.load(ShardIndex(keys[:0], np.zeros(1, np.int64), 0, "<u4").dump()).find(np.array([1])).tolist() == [-1]
+    keys, sizes = np.array([0, 0, 3, 3, 3, 9], np.int64), np.array([4, 1, 0, 7, 2, 5], np.int64)
+    index = ShardIndex.load(ShardIndex.build(keys, sizes, 2, 2).dump())
+    offsets, own = index.rows()
+    assert offsets.tolist() == [0, 4, 5, 5, 12, 14] and own.tolist() == sizes.tolist()
+    found = index.find(np.array([3, 9, 4, 0]))
+    assert found[2] == found[3] == -1 and index.entries["offset"][found[:2]].tolist() == [5, 14]
+    empty = ShardIndex.load(ShardIndex.build(keys[:0], sizes[:0], 0, 4).dump())
+    assert empty.find(np.array([1])).tolist() == [-1] and empty.rows()[0].tolist() == []
+
+
+def test_a_lookup_reads_little_whatever_the_size():
+    for n in (1, 100, 50_000):
+        keys = np.sort(np.random.default_rng(n).choice(10**9, n, replace=False)).astype(np.int64)
+        data = ShardIndex.build(keys, np.full(n, 3, np.int64), 0, 2).dump()
+        head = _Head(data[:4096])
+        for i in range(0, n, max(1, n // 50)):
+            lengths = []
+            assert head.find(int(keys[i]), lambda at, size, lengths=lengths: lengths.append(size) or data[at : at + size]) == (3 * i, 3)
+            assert len(lengths) <= len(head.levels) + 1 and sum(lengths) <= 24 + 16 * len(head.levels)
+        assert all(head.find(k, lambda at, size: data[at : at + size]) is None for k in range(10**9, 10**9 + 100))
+
+
+def test_shards_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(100)], "doc_id long, text string")
+    path = work_path(spark, "tokens")
+    shards = write_store(docs, path, lambda: word_encoder(PATH), shard_bytes=10_000)
+    assert len(shards) == 10 and max(s["n_docs"] for s in shards) < 30
+    assert [r.doc_id for r in sorted(read_store(spark, path).collect(), key=lambda r: r.start)] == list(range(100))
+    store = Store(path)
+    assert all(store.get(i) == store.get(0) and len(store.get(i)) == 201 for i in range(100)) and store.get(100) is None and store.get(-1) is None
 
 
 def test_store(spark):
