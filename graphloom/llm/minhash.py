@@ -4,8 +4,8 @@ A document's set is its distinct word shingles, as 64-bit hashes. 128 MinHash sa
 bottom-1024 MinHash sample, folded by parity into a 1024-bit map (an odd sketch), tests candidate pairs: each element in
 which two samples differ flips one bit of the XOR of their maps, so the population count never exceeds the samples'
 symmetric difference. For sets of up to 1024 shingles the sample is the set, and a count above the largest difference that
-the threshold allows rules a pair out for certain; for larger sets six standard deviations are added. Pairs that pass are
-compared on their full sets.
+the threshold allows rules a pair out for certain; pairs with a larger set are ruled out by their sizes only. Pairs that pass
+are compared on their full sets.
 
 Work stays linear in skewed groups:
 
@@ -13,9 +13,11 @@ Work stays linear in skewed groups:
 * in each band bucket the smallest member is the hub, and each member is first compared with one hub only, so a group of
   n near copies costs n comparisons;
 * only buckets whose members are still in different components are looked at again; there the members outside the
-  bucket's main component are compared with all members of other components. Nothing is capped, so the result is the
-  components of all links among banded candidates. With the default bands a pair at the threshold shares no band with
-  probability below 1e-6.
+  bucket's main component are compared with the members of other components whose sets are of a size that may reach the
+  threshold. Nothing is capped, so the result is the components of all links among banded candidates. With the default bands
+  a pair at the threshold shares no band with probability below 1e-6;
+* rows of a group (copies of a text, a bucket, the neighbours of a hub) are joined with what the group shares by the group's
+  key and a salt, for as many salts as the group has rows with, so a group of a third of all rows spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SAMPLES = 128
 BOTTOM = 1024
 SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
+#: Parts that the rows of a group are dealt over.
+SALTS = 32
 #: Entries that a worker's word cache holds before it is emptied.
 CACHE_WORDS = 250_000
 
@@ -110,6 +114,8 @@ _SIGNATURE = (
     "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(WORDS))
 )
 
+_SKETCH = [f"s{i}" for i in range(WORDS)]
+
 
 def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
     """One row per document with its set's size, a 128-bit digest of the set, band keys and odd sketch (null if empty)."""
@@ -167,11 +173,29 @@ def _allowed(a: str, b: str, percent: int) -> Column:
     """The largest distance of the sketches of two sets (sizes in column n) that may reach the threshold; -1 if sizes rule it out."""
     p, q = F.col(f"{a}.n"), F.col(f"{b}.n")
     common = F.ceil(percent * (p + q) / (100 + percent))
-    kept, other = F.least(p, F.lit(BOTTOM)), F.least(q, F.lit(BOTTOM))
-    differing = kept + other - 2 * common * F.least(kept / p, other / q)
-    loose = differing + 6 * F.sqrt(2 * differing) + 10
-    sampled = SKETCH_BITS / 2 * (1 - F.exp(-2 * loose / SKETCH_BITS)) + 3 * math.sqrt(SKETCH_BITS)
-    return F.when(common > F.least(p, q), -1.0).when(F.greatest(p, q) <= BOTTOM, differing).otherwise(sampled)
+    return F.when(common > F.least(p, q), -1).when(F.greatest(p, q) <= BOTTOM, p + q - 2 * common).otherwise(SKETCH_BITS)
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).alias("salt")
+
+
+def _every_salt() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
+def _with_group(rows: DataFrame, keys: list[str], member: str, **values: tuple) -> DataFrame:
+    """``rows`` with aggregates over their group, each (min or max, column); members of a group are dealt over tasks by a salt."""
+    salted = rows.select("*", _salt(member))
+    part = salted.groupBy(*keys, "salt").agg(*(f(c).alias(name) for name, (f, c) in values.items()))
+    whole = part.groupBy(*keys).agg(*(f(name).alias(name) for name, (f, _) in values.items()), F.collect_list("salt").alias("salts"))
+    return salted.join(whole.select(*keys, *values, F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")
+
+
+def _attach(pairs: DataFrame, key: str, member: str, values: DataFrame) -> DataFrame:
+    """``pairs`` with the columns that ``values`` (key, ...) has for their key; a key's values go once to each salt of its pairs."""
+    salted = pairs.select("*", _salt(member))
+    return salted.join(salted.select(key, "salt").distinct().join(values, key), [key, "salt"]).drop("salt")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -184,25 +208,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_group(both, ["a"], "b", m=(F.min, "b")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        small = _with_group(large, ["a"], "b", m=(F.min, "b"))
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         e = materialise(small.where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum("a"), F.sum("b"), F.expr("count(distinct a)"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state or now[0] == now[3] and e.alias("x").join(e.alias("y"), F.expr("x.b = y.a"), "left_semi").isEmpty():
+        if now == state or now[0] == now[3] and e.select(F.col("b").alias("a")).distinct().join(e, "a", "left_semi").isEmpty():
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
         state = now
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
+    """The (a, b) pairs whose full sets reach the threshold; b's set goes to where the sets of its a's are."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
     both = F.size(F.array_intersect("ea", "eb"))
     return (
-        pairs.join(left, "a").join(right, "b")
+        _attach(left, "b", "a", sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")))
         .select("a", "b", F.size("ea").alias("na"), F.size("eb").alias("nb"), both.alias("both"))
         .where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
     )
@@ -213,7 +235,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Two documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``shingle``-word shingles. Null,
     empty and wordless texts have an empty set and are linked with nothing. Rows that repeat a doc_id are one document in
-    the components (each version's links count) and keep a row each. A null doc_id has a null component and is kept.
+    the components (each version's links count) and keep a row each. A null doc_id has a null component and is kept. Texts of any
+    length are compared whole, an empty table gives an empty one, and other columns are not looked at, whatever their names.
     """
     threshold = percent / 100
     rows, bands = bands_for(threshold)
@@ -221,25 +244,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     usable = sig.where("n_shingles > 0 and doc_id is not null")
 
     # Equal sets become one class, named by its smallest document.
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = materialise(usable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2").distinct(), "classes")
+    copies = _with_group(usable.select("doc_id", "d1", "d2"), ["d1", "d2"], "doc_id", rep=(F.min, "doc_id"))
+    member = materialise(copies.select("doc_id", "rep", "d1", "d2").distinct(), "classes")
     own = usable.join(member.where("doc_id = rep").select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    sketch_columns = [F.col("n_shingles").alias("n"), *(f"s{i}" for i in range(WORDS))]
+    sketch_columns = [F.col("n_shingles").alias("n"), *_SKETCH]
 
     # Buckets with two members or more; the smallest member is the hub.
     entries = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    hubs = materialise(entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub"), "hubs")
-    buckets = materialise(entries.join(hubs, "key").distinct(), "buckets")
+    grouped = _with_group(entries, ["key"], "rep", hub=(F.min, "rep"), other=(F.max, "rep"))
+    buckets = materialise(grouped.where("hub < other").select("key", "rep", "hub").distinct(), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sketches = materialise(own.join(involved, "doc_id", "left_semi").select("doc_id", *sketch_columns), "sketches")
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = materialise(_full_sets(text.join(involved, "doc_id", "left_semi"), shingle), "sets")
 
     # First each member against the hub that its sketch is nearest to.
+    compared = buckets.where("rep <> hub").select("rep", "hub").distinct().join(sketches.select(F.col("doc_id").alias("rep"), F.struct("n", *_SKETCH).alias("x")), "rep")
+    compared = _attach(compared, "hub", "rep", sketches.select(F.col("doc_id").alias("hub"), F.struct("n", *_SKETCH).alias("y")))
     near = (
-        buckets.where("rep <> hub").select("rep", "hub").distinct().alias("p")
-        .join(sketches.alias("x"), F.expr("p.rep = x.doc_id")).join(sketches.alias("y"), F.expr("p.hub = y.doc_id"))
-        .select("p.rep", "p.hub", _distance("x", "y").alias("distance"), _allowed("x", "y", percent).alias("allowed")).where("distance <= allowed")
+        compared.select("rep", "hub", _distance("x", "y").alias("distance"), _allowed("x", "y", percent).alias("allowed")).where("distance <= allowed")
         .groupBy("rep").agg(F.min(F.struct("distance", "hub")).alias("best"))
         .select(F.col("rep").alias("a"), F.col("best.hub").alias("b"))
     )
@@ -253,10 +276,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         .select("key", F.col("m.c").alias("main"))
     )
-    apart = materialise(named.join(main, "key").join(sketches.withColumnRenamed("doc_id", "rep"), "rep"), "apart")
+    salted_main = main.select("key", "main", F.explode(_every_salt()).alias("salt"))
+    known_main = named.select("*", _salt("rep")).join(salted_main, ["key", "salt"])
+    # Sets that reach the threshold differ in size by less than a factor 1 / threshold, so by one class of sizes at most.
+    sizes = sketches.withColumnRenamed("doc_id", "rep").withColumn("class", F.floor(F.log("n") / (1.0001 * math.log(1 / threshold))) if threshold < 1 else F.col("n"))
+    apart = materialise(known_main.join(sizes, "rep"), "apart")
+    outside = apart.where("c <> main").drop("salt").withColumn("class", F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))))
+    outside = outside.withColumn("salt", F.explode(_every_salt()))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.salt") == F.col("y.salt"))
     pairs = (
-        apart.where("c <> main").alias("x")
-        .join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & F.expr("x.c <> y.c and (y.c = y.main or x.rep < y.rep)") & (_distance("x", "y") <= _allowed("x", "y", percent)))
+        outside.alias("x").join(apart.alias("y"), same & F.expr("x.c <> y.c and (y.c = y.main or x.rep < y.rep)") & (_distance("x", "y") <= _allowed("x", "y", percent)))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     )
     late = _verified(pairs, sets, percent)

@@ -78,6 +78,21 @@ def test_bands():
     assert bands_for(0.85) == (5, 25) and bands_for(0.8) == (4, 32)
 
 
+def test_buckets_with_many_components(spark):
+    """Families that share most of a long template but not enough to be linked: their buckets stay in several components."""
+    r = random.Random(12)
+    template, rows = [f"t{i}" for i in range(150)], []
+    for family in range(30):
+        own = [w if r.random() > 0.05 else f"f{family}_{i}" for i, w in enumerate(template)]
+        for _ in range(4):
+            words = list(own)
+            words[r.randrange(len(words))] = f"x{r.random()}"
+            rows.append((len(rows) * 17 % 1009, " ".join(words)))
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 3, 85).collect()
+    want = brute(rows, 3, 85)
+    assert sorted(map(tuple, got)) == want and 5 < len({x[2] for x in want}) < 120
+
+
 def test_large_sets(spark):
     """Sets above the sketch's sample size, on both sides of the threshold."""
     r = random.Random(9)
