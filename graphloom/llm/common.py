@@ -9,11 +9,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir, work_path
 
-__all__ = ["filesystem", "map_batches", "materialise", "shared_dir", "table", "work_path", "write_atomically"]
+__all__ = ["bind", "every_salt", "filesystem", "fresh_name", "map_batches", "materialise", "running", "salt", "shared_dir", "table", "with_group", "work_path", "write_atomically"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +71,65 @@ def write_atomically(uri: str, write) -> None:
     with system.open_output_stream(temporary) as stream:
         write(stream)
     system.move(temporary, path)
+
+
+# -- column expressions ----------------------------------------------------------------------------------------------
+
+#: Elements that ``running`` takes at a time.
+_RUN = 128
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, zero: Column, add) -> Column:
+    """For each element of an array, what ``add`` makes of ``zero`` and all elements before it (``add`` must be associative).
+
+    An array that grows by one in each step costs its length squared, so runs of elements are folded first, then the runs.
+    """
+
+    def fold(part: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def runs(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda i: F.slice(v, i * _RUN + 1, _RUN))
+        sums = lambda p: F.transform(p, lambda part: F.aggregate(part, zero, add))
+        return bind(parts, lambda p: F.flatten(F.zip_with(p, fold(sums(p), zero), fold)))
+
+    return bind(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).when(F.size(v) <= _RUN, fold(v, zero)).otherwise(runs(v)))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+# -- groups that one task could not hold -----------------------------------------------------------------------------
+
+#: Parts that the rows of a group are dealt over.
+SALTS = 32
+
+
+def salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).alias("salt")
+
+
+def every_salt() -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
+def with_group(rows: DataFrame, keys: list[str], members: list[str], **values: tuple) -> DataFrame:
+    """``rows`` with aggregates over their group, each (min or max, column); members of a group are dealt over tasks by a salt.
+
+    What a group shares goes once to each salt that the group has rows with.
+    """
+    salted = rows.select("*", salt(*members))
+    part = salted.groupBy(*keys, "salt").agg(*(f(c).alias(name) for name, (f, c) in values.items()))
+    whole = part.groupBy(*keys).agg(*(f(name).alias(name) for name, (f, _) in values.items()), F.collect_list("salt").alias("salts"))
+    return salted.join(whole.select(*keys, *values, F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")

@@ -32,15 +32,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import every_salt, map_batches, materialise, salt, with_group
 
 SAMPLES = 128
 #: Elements of the bottom MinHash sample that is folded into the odd sketch, and the sketch's bits.
 BOTTOM = 1024
 SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
-#: Parts that the rows of a group are dealt over.
-SALTS = 32
 #: Entries that a worker's word cache holds before it is emptied.
 CACHE_WORDS = 250_000
 
@@ -176,25 +174,9 @@ def _allowed(a: str, b: str, percent: int) -> Column:
     return F.when(common > F.least(p, q), -1).when(F.greatest(p, q) <= BOTTOM, p + q - 2 * common).otherwise(SKETCH_BITS)
 
 
-def _salt(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SALTS)).alias("salt")
-
-
-def _every_salt() -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-
-
-def _with_group(rows: DataFrame, keys: list[str], member: str, **values: tuple) -> DataFrame:
-    """``rows`` with aggregates over their group, each (min or max, column); members of a group are dealt over tasks by a salt."""
-    salted = rows.select("*", _salt(member))
-    part = salted.groupBy(*keys, "salt").agg(*(f(c).alias(name) for name, (f, c) in values.items()))
-    whole = part.groupBy(*keys).agg(*(f(name).alias(name) for name, (f, _) in values.items()), F.collect_list("salt").alias("salts"))
-    return salted.join(whole.select(*keys, *values, F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")
-
-
 def _attach(pairs: DataFrame, key: str, member: str, values: DataFrame) -> DataFrame:
     """``pairs`` with the columns that ``values`` (key, ...) has for their key; a key's values go once to each salt of its pairs."""
-    salted = pairs.select("*", _salt(member))
+    salted = pairs.select("*", salt(member))
     return salted.join(salted.select(key, "salt").distinct().join(values, key), [key, "salt"]).drop("salt")
 
 
@@ -208,9 +190,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_group(both, ["a"], "b", m=(F.min, "b")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        large = with_group(both, ["a"], ["b"], m=(F.min, "b")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = large.where("a <> b").distinct()
-        small = _with_group(large, ["a"], "b", m=(F.min, "b"))
+        small = with_group(large, ["a"], ["b"], m=(F.min, "b"))
         small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         e = materialise(small.where("a <> b").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum("a"), F.sum("b"), F.expr("count(distinct a)"), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -244,14 +226,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     usable = sig.where("n_shingles > 0 and doc_id is not null")
 
     # Equal sets become one class, named by its smallest document.
-    copies = _with_group(usable.select("doc_id", "d1", "d2"), ["d1", "d2"], "doc_id", rep=(F.min, "doc_id"))
+    copies = with_group(usable.select("doc_id", "d1", "d2"), ["d1", "d2"], ["doc_id"], rep=(F.min, "doc_id"))
     member = materialise(copies.select("doc_id", "rep", "d1", "d2").distinct(), "classes")
     own = usable.join(member.where("doc_id = rep").select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     sketch_columns = [F.col("n_shingles").alias("n"), *_SKETCH]
 
     # Buckets with two members or more; the smallest member is the hub.
     entries = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    grouped = _with_group(entries, ["key"], "rep", hub=(F.min, "rep"), other=(F.max, "rep"))
+    grouped = with_group(entries, ["key"], ["rep"], hub=(F.min, "rep"), other=(F.max, "rep"))
     buckets = materialise(grouped.where("hub < other").select("key", "rep", "hub").distinct(), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sketches = materialise(own.join(involved, "doc_id", "left_semi").select("doc_id", *sketch_columns), "sketches")
@@ -276,13 +258,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         .select("key", F.col("m.c").alias("main"))
     )
-    salted_main = main.select("key", "main", F.explode(_every_salt()).alias("salt"))
-    known_main = named.select("*", _salt("rep")).join(salted_main, ["key", "salt"])
+    salted_main = main.select("key", "main", F.explode(every_salt()).alias("salt"))
+    known_main = named.select("*", salt("rep")).join(salted_main, ["key", "salt"])
     # Sets that reach the threshold differ in size by less than a factor 1 / threshold, so by one class of sizes at most.
     sizes = sketches.withColumnRenamed("doc_id", "rep").withColumn("class", F.floor(F.log("n") / (1.0001 * math.log(1 / threshold))) if threshold < 1 else F.col("n"))
     apart = materialise(known_main.join(sizes, "rep"), "apart")
     outside = apart.where("c <> main").drop("salt").withColumn("class", F.explode(F.array(*(F.col("class") + i for i in (-1, 0, 1)))))
-    outside = outside.withColumn("salt", F.explode(_every_salt()))
+    outside = outside.withColumn("salt", F.explode(every_salt()))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.salt") == F.col("y.salt"))
     pairs = (
         outside.alias("x").join(apart.alias("y"), same & F.expr("x.c <> y.c and (y.c = y.main or x.rep < y.rep)") & (_distance("x", "y") <= _allowed("x", "y", percent)))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bind, materialise
 
 #: Fixed rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -37,11 +37,6 @@ STEPS = 10
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """Words that lie in windows of ``WINDOW`` words found twice or more, each word counted once.
 
@@ -67,7 +62,7 @@ def repeated_words(words: Column) -> Column:
 
         return F.aggregate(at, start, step, lambda x: x["n"])
 
-    counted = _bind(hashes, lambda h: _bind(windows(h), lambda s: covered(positions(s))))
+    counted = bind(hashes, lambda h: bind(windows(h), lambda s: covered(positions(s))))
     return F.when(F.size(words) > WINDOW, counted).otherwise(0).cast("long")
 
 
@@ -91,8 +86,8 @@ def measures(docs: DataFrame) -> DataFrame:
     upper = length - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     lower = length - without("abcdefghijklmnopqrstuvwxyz")
     rows = rows.select(
-        "doc_id", "stratum", _bind(words, counts).alias("c"), without(_SPACE).cast("long").alias("word_chars"), (length - without("#*$%&|<>")).cast("long").alias("n_symbols"),
-        _bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("l"), upper.alias("upper"), lower.alias("lower"),
+        "doc_id", "stratum", bind(words, counts).alias("c"), without(_SPACE).cast("long").alias("word_chars"), (length - without("#*$%&|<>")).cast("long").alias("n_symbols"),
+        bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("l"), upper.alias("upper"), lower.alias("lower"),
     )
     n = F.greatest(F.col("c.n_words"), F.lit(1))
     return rows.select(
