@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bind, running
+
 START, SEP, PART, END = "<|im_start|>", "<|im_sep|>", "<|im_part|>", "<|im_end|>"
 #: What is escaped: a backslash, or the first character of a control string.
 _CONTROL = r"\\|<(?=\|im_(?:start|sep|part|end)\|>|/?s>|</?SYS>>)|\[(?=/?INST\])"
@@ -35,41 +37,43 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     """One row per conv_id of (conv_id, turn, role, text): conv_id, formatted, loss_spans.
 
     Turns are ordered by turn, then role and text where turn numbers repeat (null first); repeated rows are turns of their
-    own. A null text or role is empty. Rows with a null conv_id are one conversation.
+    own. A null text or role is empty. Rows with a null conv_id are one conversation. An empty table gives an empty one, other
+    columns are not looked at, whatever their names, and the steps grow in proportion to a conversation's turns and texts.
     """
     rows = turns.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     collected = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    kind = "array<struct<role: string, texts: array<string>>>"
 
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        one = F.array(F.struct(t["role"].alias("role"), F.array(escaped(t["text"])).alias("texts")))
-        more = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escaped(t["text"]))).alias("texts"))
-        joined = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(more))
-        return F.when(F.size(blocks) == 0, one).when(last["role"] == t["role"], joined).otherwise(F.concat(blocks, one))
+    # Turns of a role that follow each other are a block: the places where the role changes cut the array.
+    def cut(turns: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(turns) - 1)
+        starts = F.filter(places, lambda i: ~F.coalesce(F.get(turns, i - 1)["role"] == F.get(turns, i)["role"], F.lit(False)))
+
+        def block(s: Column, start: Column, k: Column) -> Column:
+            own = F.slice(turns, start + 1, F.coalesce(F.get(s, k + 1), F.size(turns)) - start)
+            return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(own, lambda t: escaped(t["text"])).alias("texts"))
+
+        return bind(starts, lambda s: F.transform(s, lambda start, k: block(s, start, k)))
 
-    blocks = collected.select("conv_id", F.aggregate("turns", F.array().cast(kind), merge).alias("blocks"))
+    blocks = collected.select("conv_id", cut(F.col("turns")).alias("blocks"))
     head = lambda b: F.concat(F.lit(START), escaped(b["role"]), F.lit(SEP))
     whole = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], PART), F.lit(END))), "")
 
-    def walk(state: Column, b: Column) -> Column:
-        """Positions of the parts of a block; each part is followed by a mark."""
-        after = state["at"] + F.length(head(b))
-        parts = F.aggregate(
-            b["texts"], F.struct(after.alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans")),
-            lambda s, t: F.struct(
-                (s["at"] + F.length(t) + len(PART)).alias("at"),
-                F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(t)).alias("end")))).alias("spans"),
-            ),
-        )
-        spans = F.when(b["role"] == loss_role, F.concat(state["spans"], parts["spans"])).otherwise(state["spans"])
-        return F.struct((parts["at"] - len(PART) + len(END)).alias("at"), spans.alias("spans"))
-
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
-    return blocks.select("conv_id", whole.alias("formatted"), F.aggregate("blocks", none, walk)["spans"].alias("loss_spans"))
+    # The part of each text in the string: what stands before it, its length, and what stands behind it.
+    def parts(b: Column) -> Column:
+        last = F.size(b["texts"]) - 1
+        return F.transform(b["texts"], lambda t, i: F.struct(
+            F.when(i == 0, F.length(head(b))).otherwise(len(PART)).alias("before"), F.length(t).alias("length"), F.when(i == last, len(END)).otherwise(0).alias("after"), (b["role"] == loss_role).alias("counts"),
+        ))
+
+    def spans(p: Column) -> Column:
+        at = running(F.transform(p, lambda x: x["before"] + x["length"] + x["after"]), F.lit(0), lambda a, n: a + n)
+        placed = F.zip_with(p, at, lambda x, a: F.struct(x["counts"].alias("counts"), (a + x["before"]).alias("start"), (a + x["before"] + x["length"]).alias("end")))
+        return F.transform(F.filter(placed, lambda x: x["counts"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    return blocks.select("conv_id", whole.alias("formatted"), bind(F.flatten(F.transform("blocks", parts)), spans).alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:

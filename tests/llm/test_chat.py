@@ -49,3 +49,14 @@ def test_marks_count_blocks_and_turns(spark):
 
 def test_empty_table(spark):
     assert digests(format_conversations(spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_a_long_conversation_and_clashing_columns(spark):
+    """Thousands of turns, runs of one role among them: positions and texts are right, and the steps are not quadratic."""
+    r = random.Random(3)
+    data = [(1, i, r.choice(["user", "assistant"]), "t" * r.randrange(4)) for i in range(6000)] + [(2, i, "assistant", f"a{i}") for i in range(3000)]
+    docs = spark.createDataFrame([(*x, "x", 1) for x in data], SCHEMA + ", turns string, blocks int")
+    want = expected(data)
+    for row in parse(format_conversations(docs)).collect():
+        assert [tuple(t) for t in row.turns] == want[row.conv_id]
+        assert row.loss_texts == [text for role, text in want[row.conv_id] if role == "assistant"]
