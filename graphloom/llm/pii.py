@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bind, fresh_name, materialise, running
 
 #: Kinds in the order of the span lists.
 KINDS = ("email", "ip", "card", "phone")
@@ -32,7 +32,7 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: A label, its delimiter and the value behind it.
-_LABELLED = r"(?<![A-Za-z_-])([A-Za-z_][A-Za-z_-]{1,30})(\x20?[=:]\x20?[\"']?)([+(]?[0-9][0-9\x20().-]{3,}[0-9]|[^\s\"'<>,;]{4,}+)"
+_LABELLED = r"(?<![A-Za-z_-])([A-Za-z_][A-Za-z_-]++)(\x20?[=:]\x20?[\"']?)([+(]?[0-9][0-9\x20().-]{3,}[0-9]|[^\s\"'<>,;]{4,}+)"
 #: What marks a word in running text as a value, and such a value: a number with spaces, or a word up to its closing marks.
 _MARK = r"[0-9@]|[(\[{]at[)\]}]"
 _VALUE = rf"(?<![^\s\"'(<\[])(?:[+(]?[0-9][0-9\x20().-]{{3,}}[0-9]|(?=[^\s\"'<>,;]*?(?:{_MARK}))[^\s\"'<>,;]{{3,}}[^\s\"'<>,;.!?:)\]}}])"
@@ -52,15 +52,11 @@ _SPAN = "struct<start: int, end: int, text: string>"
 def _matches(text: Column, pattern: str) -> Column:
     """array of (start, end, text) of a pattern's matches, in characters."""
     both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("before"), m.alias("m")))
-    found = F.filter(both, lambda x: x["m"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    def spans(found: Column) -> Column:
+        at = running(F.transform(found, lambda x: x["before"] + F.length(x["m"])), F.lit(0), lambda a, n: a + n)
+        return F.zip_with(found, at, lambda x, a: F.struct((a + x["before"]).alias("start"), (a + x["before"] + F.length(x["m"])).alias("end"), x["m"].alias("text")))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["before"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("spans"))
-
-    return F.aggregate(found, none, step, lambda s: s["spans"])
+    return bind(F.filter(both, lambda x: x["m"].isNotNull()), spans)
 
 
 def _luhn(digits: Column) -> Column:
@@ -184,7 +180,8 @@ def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (fixed kinds), base_sha256, spans, n_added.
 
     ``base_sha256`` digests the list of the fixed spans, ``spans`` lists all: kind:start:end by kind, then start, in characters,
-    end exclusive, joined by commas. A null text is empty and has none. Repeated rows keep a row each.
+    end exclusive, joined by commas. A null text is empty and has none; a text of any length is searched whole. Repeated rows keep a
+    row each, an empty table gives an empty one, and other columns are not looked at, whatever their names.
     """
     rows, added = _spans(docs)
     return _all_spans(rows, added).select(
@@ -199,9 +196,10 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the first (the longest of those with one start) names the replacement of them all.
     """
     rows, added = _spans(docs)
-    key = _all_spans(rows, added).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__hash"), F.col("found").alias("__spans")).dropDuplicates(["__id", "__hash"])
-    joined = docs.join(key, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("__hash")), "left")
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["o"].alias("o"))))
+    of_id, of_text, spans = (fresh_name(docs, name) for name in ("span_id", "span_text", "span_list"))
+    key = _all_spans(rows, added).where(F.size("found") > 0).select(F.col("doc_id").alias(of_id), F.col("h").alias(of_text), F.col("found").alias(spans)).dropDuplicates([of_id, of_text])
+    joined = docs.join(key, F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(of_text)), "left")
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["o"].alias("o"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.lit([f"[{k.upper()}]" for k in KINDS])
 
@@ -211,7 +209,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(state["at"], end).alias("at"), F.when(s["start"] >= state["at"], clear).otherwise(state["out"]).alias("out"))
 
     new = F.aggregate(by_start, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(new))
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)

@@ -96,6 +96,22 @@ def test_labelled_values_run_to_their_delimiter(spark):
     assert (got[100], got[101], got[102]) == ("mail: [EMAIL], then", "mail: [EMAIL]; rest", "mail: nobody")
 
 
+def test_many_spans_and_clashing_columns(spark):
+    text = " ".join(f"u{i}@b.de x 10.0.{i % 256}.{i // 256}" for i in range(3000))
+    docs = spark.createDataFrame([(1, text, 1, "y", "z")], "doc_id long, text string, span_id int, _span_id string, span_list string")
+    row = find(docs).first()
+    assert (row.n_email, row.n_ip) == (3000, 3000)
+    assert row.base_sha256 == hashlib.sha256(",".join(x for k in PATTERNS for x in brute(text)[k]).encode()).hexdigest()
+    out = redact(docs).first()
+    assert out.text == " ".join(["[EMAIL] x [IP]"] * 3000) and tuple(out)[2:] == (1, "y", "z")
+
+
+def test_long_labels(spark):
+    rows = [(i, f"{'very_long_' * 5}mail = a{i}@b.de") for i in range(30)] + [(100, f"{'very_long_' * 5}mail = jane(at)example.com")]
+    got = {r.doc_id: r.text for r in redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == f"{'very_long_' * 5}mail = [EMAIL]"
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert find(none).collect() == [] and redact(none).collect() == []
