@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import filesystem, map_batches, materialise, write_atomically
+from .common import filesystem, map_batches, with_group, write_atomically
 
 #: Payloads from this size are written once.
 LEAST_BYTES = 1000
@@ -90,15 +90,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
 
     The payload is the html in UTF-8 (null: empty). Of the rows with equal payloads of at least ``least_bytes`` bytes, the one
     with the largest page_id is a response and the others revisit it; rows that share that page_id are all responses. A null
-    page_id is smallest.
+    page_id is smallest. An empty table writes no record, and other columns are not looked at, whatever their names.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    large = rows.where(F.octet_length("html") >= least_bytes)
-    latest = large.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("latest"), F.count("*").alias("n")).where("n > 1")
-    latest = materialise(latest.select("digest", F.col("latest.page_id").alias("to_page"), F.col("latest.url").alias("to_url"), F.lit(True).alias("several")), "latest")
-    first = F.col("several").isNull() | F.col("page_id").eqNullSafe(F.col("to_page"))
-    ready = rows.join(latest, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"), "to_page", "to_url")
+    # Which rows share a payload is told from ids and digests, dealt over tasks by a salt; each payload moves at most once, and not to its copies.
+    shared = with_group(rows.withColumn("latest", F.struct("page_id", "url")), ["digest"], ["page_id", "url"], last=(F.max, "latest"))
+    first = (F.octet_length("html") < least_bytes) | F.col("page_id").eqNullSafe(F.col("last.page_id"))
+    ready = shared.select("page_id", "url", "html", "digest", first.alias("first"), F.col("last.page_id").alias("to_page"), F.col("last.url").alias("to_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records(stream) -> None:
@@ -147,7 +146,7 @@ class _Member:
     def __init__(self, source: _Input, offset: int):
         self.source, self.offset, self.next = source, offset, offset
         self.size = _member_size(source.at(offset, 20))
-        self.inflate, self.out, self.ended = zlib.decompressobj(31), b"", False
+        self.inflate, self.out, self.ended = zlib.decompressobj(31), bytearray(), False
 
     def _more(self, n: int) -> None:
         piece = self.source.at(self.next, n)
@@ -158,14 +157,21 @@ class _Member:
         self.ended = self.inflate.eof
 
     def head(self) -> bytes:
-        while b"\r\n\r\n" not in self.out and not self.ended:
+        end = self.find(0)
+        return bytes(self.out[: end if end >= 0 else len(self.out)])
+
+    def find(self, start: int) -> int:
+        """Where the first empty line from ``start`` on begins, -1 if there is none; each byte is looked at once."""
+        while (end := self.out.find(b"\r\n\r\n", start)) < 0 and not self.ended:
+            start = max(start, len(self.out) - 3)
             self._more(1024)
-        return self.out.partition(b"\r\n\r\n")[0]
+        return end
 
-    def whole(self) -> bytes:
-        while not self.ended:
+    def body(self, start: int, size: int) -> bytes:
+        """``size`` bytes from ``start`` on."""
+        while not self.ended and len(self.out) < start + size:
             self._more(1 << 16)
-        return self.out
+        return bytes(self.out[start : start + size])
 
     def end(self) -> int:
         """Where the next member begins; without the extra field, the member has to be inflated to tell."""
@@ -173,7 +179,7 @@ class _Member:
             return self.offset + self.size
         while not self.ended:
             self._more(1 << 16)
-            self.out = b""
+            self.out.clear()
         return self.next
 
 
@@ -223,9 +229,9 @@ def read_records(path: str, start: int, end: int, wanted: dict[str, set], with_p
         payload, size = None, length
         if passes:
             if zipped:
-                while not this.ended and (is_http and this.out.count(b"\r\n\r\n") < 2 and len(this.out) < len(head) + 4 + length):
-                    this._more(1024)
-                block = (this.whole() if with_payload else this.out)[len(head) + 4 :][:length]
+                if is_http:
+                    this.find(len(head) + 4)
+                block = this.body(len(head) + 4, length) if with_payload else bytes(this.out[len(head) + 4 : len(head) + 4 + length])
             else:
                 block = source.at(at + len(head) + 4, length if with_payload else min(length, 4096))
             if is_http:

@@ -70,3 +70,11 @@ def test_empty_table(spark):
     path = work_path(spark, "warc")
     write_archives(pages(spark).limit(0), path)
     assert page_records(spark, path).collect() == []
+
+
+def test_clashing_columns_and_a_long_payload(spark):
+    path = work_path(spark, "warc")
+    long = "<p>" + "x\r\n\r\n" * 300_000
+    rows = [(1, "u", long, 1, "a"), (2, "v", long, 2, "b"), (3, "w", "short", 3, "c")]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string, latest int, salt string"), path)
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in page_records(spark, path).collect()) == [(1, "revisit", len(long)), (2, "response", len(long)), (3, "response", 5)]
