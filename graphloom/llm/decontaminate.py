@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import fresh_name, map_batches, materialise
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text in one automaton. A larger benchmark is scanned in blocks of this size.
+#: UTF-8 bytes of benchmark text in one automaton, about. Of a larger benchmark the documents are scanned once for each such part.
 BLOCK_BYTES = 16 << 20
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -62,44 +62,63 @@ class Matcher:
             yield last - size + 1, last, items
 
 
-def _blocks(items: list[tuple[object, bytes]]) -> Iterator[list]:
-    block, size = [], 0
-    for item in items:
-        if block and size + len(item[1]) > BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-        block.append(item)
-        size += len(item[1])
-    if block:
-        yield block
-
-
-class _Scanner:
-    """Finds the hits of texts in the broadcast items; made once in a task."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.blocks, self.window = list(_blocks(items)) or [[]], window
-        self.one = Matcher(self.blocks[0], window) if len(self.blocks) == 1 else None
-
-    def __call__(self, texts: list[bytes]) -> list[tuple[int, dict]]:
-        """(words, hits) of each text."""
-        found: list[dict] = [{} for _ in texts]
-        n_words = [0] * len(texts)
-        for block in self.blocks:
-            matcher = self.one or Matcher(block, self.window)
-            for i, text in enumerate(texts):
+def _parts(benchmark: DataFrame) -> list:
+    """The benchmark's items, broadcast in parts of about ``BLOCK_BYTES``; rows that share an id are in one part."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null and id is not null")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    sc = benchmark.sparkSession.sparkContext
+    for part in range(n):
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == part)
+        yield part == n - 1, sc.broadcast([(r[0], bytes(r[1])) for r in own.toLocalIterator()])
+
+
+_HITS = "struct<items: array<string>, ranges: array<struct<first: long, last: long>>>"
+
+
+def _scan(docs: DataFrame, at: int, hits: int | None, sent, window: int, finish, schema) -> DataFrame:
+    """``finish(batch, n_words, found)`` over batches of ``docs``, whose texts are column ``at`` and whose earlier hits are column ``hits``.
+
+    The automaton is made once in a task; found holds a dict with items and ranges for each text, empty without hits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, window)
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(at).cast(pa.binary())]
+            found: list[dict] = [{} for _ in texts]
+            if hits is not None:
+                for own, old in zip(found, batch.column(hits).to_pylist(), strict=True):
+                    if old and old["items"]:
+                        own["items"], own["ranges"] = set(old["items"]), [(r["first"], r["last"]) for r in old["ranges"]]
+            n_words = []
+            for text, own in zip(texts, found, strict=True):
                 words = normalised_words(text)
-                n_words[i] = len(words)
+                n_words.append(len(words))
                 for first, last, item_ids in matcher.scan(words):
-                    hit = found[i]
-                    hit.setdefault("items", set()).update(item_ids)
-                    hit.setdefault("ranges", []).append((first, last))
-        return list(zip(n_words, found, strict=True))
+                    own.setdefault("items", set()).update(item_ids)
+                    own.setdefault("ranges", []).append((first, last))
+            yield finish(batch, texts, n_words, found)
+
+    return map_batches(docs, run, schema)
+
 
+def _over_parts(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema) -> DataFrame:
+    """``finish`` over the documents with the hits of all parts of the benchmark; with one part, in one scan without a table between."""
+    at, hits, names = docs.columns.index("text"), None, docs.columns
 
-def _send(docs: DataFrame, benchmark: DataFrame):
-    rows = benchmark.select("item_id", F.col("text").cast("string").cast("binary").alias("text")).where("text is not null and item_id is not null")
-    return docs.sparkSession.sparkContext.broadcast([(str(r[0]), bytes(r[1])) for r in rows.toLocalIterator()])
+    def keep(batch: pa.RecordBatch, texts: list, n_words: list, found: list) -> pa.RecordBatch:
+        kept = [{"items": sorted(f.get("items", ())), "ranges": [{"first": a, "last": b} for a, b in _merged(f.get("ranges", ()))]} for f in found]
+        kind = pa.struct([("items", pa.list_(pa.string())), ("ranges", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, kind)], [*names, hit])
+
+    hit = fresh_name(docs, "hits")
+    for last, sent in _parts(benchmark):
+        if last:
+            return _scan(docs, at, hits, sent, window, finish, schema)
+        docs = materialise(_scan(docs, at, hits, sent, window, keep, docs.select(*names, F.lit(None).cast(_HITS).alias(hit)).schema), "hits")
+        hits = len(names)
+    raise AssertionError("a benchmark has one part at least")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -107,31 +126,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     n_hit counts the document words inside any occurrence of a window. ``items`` are the item_ids with occurring windows,
     sorted as strings; ``spans`` the (start, end) character ranges of the hit words in the original text, neighbours
-    joined. contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and no hits; null item
-    texts are ignored; items that share an id are one item; repeated documents keep a row each.
-
-    The benchmark is the stated query set: it is small, does not grow with the documents, and is sent to the tasks whole;
-    beyond ``BLOCK_BYTES`` a task works through it in blocks, one automaton at a time.
+    joined. contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words and no hits, a text of any
+    length is scanned whole; null item texts are ignored; items that share an id are one item; repeated documents keep a row
+    each. Without documents the result is empty, without items nothing is hit, and other columns are not looked at, whatever
+    their names.
+
+    The benchmark is the stated query set: it does not grow with the documents, and one automaton over it is sent to the tasks.
+    Its size is looked at first: beyond ``BLOCK_BYTES`` the documents are scanned once for each part of that size, and the hits
+    of one scan are written with them for the next.
     """
-    sent = _send(docs, benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scanner(sent.value, window)
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            rows = [(n, *_summary(text, hit)) for text, (n, hit) in zip(texts, scan(texts), strict=True)]
-            n, n_hit, item_ids, spans = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [])
-            columns = [
-                batch.column(0), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, item_ids)), pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in item_ids], pa.string()),
-                pa.array([is_contaminated(h, w) for h, w in zip(n_hit, n, strict=True)], pa.bool_()),
-                pa.array(item_ids, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+    def finish(batch: pa.RecordBatch, texts: list, n_words: list, found: list) -> pa.RecordBatch:
+        rows = [_summary(text, hit) for text, hit in zip(texts, found, strict=True)]
+        n_hit, item_ids, spans = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
+        columns = [
+            batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(list(map(len, item_ids)), pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in item_ids], pa.string()),
+            pa.array([is_contaminated(h, w) for h, w in zip(n_hit, n_words, strict=True)], pa.bool_()),
+            pa.array(item_ids, pa.list_(pa.string())),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start: long, end: long>>"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
+    return _over_parts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, window, finish, schema)
 
 
 def is_contaminated(n_hit: int, n_words: int) -> bool:
@@ -140,28 +158,31 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept; nothing is shuffled."""
-    sent, at = _send(docs, benchmark), docs.columns.index("text")
+    n_columns, names = len(docs.columns), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _Scanner(sent.value, window)
-        for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(at).cast(pa.binary())]
-            keep = [not (hit and is_contaminated(_summary(text, hit)[0], n)) for text, (n, hit) in zip(texts, scan(texts), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def finish(batch: pa.RecordBatch, texts: list, n_words: list, found: list) -> pa.RecordBatch:
+        keep = [not (hit and is_contaminated(sum(b - a + 1 for a, b in _merged(hit["ranges"])), n)) for hit, n in zip(found, n_words, strict=True)]
+        return pa.RecordBatch.from_arrays(batch.columns[:n_columns], names).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return _over_parts(docs, benchmark, window, finish, docs.schema)
 
 
-def _summary(text: bytes, hit: dict) -> tuple[int, list[str], list[dict]]:
-    """(hit words, sorted items, character spans)."""
-    if not hit:
-        return 0, [], []
+def _merged(ranges) -> list[tuple[int, int]]:
+    """Ranges of words in their order, those that touch or overlap joined."""
     merged: list[list[int]] = []
-    for first, last in sorted(hit["ranges"]):
+    for first, last in sorted(ranges):
         if merged and first <= merged[-1][1] + 1:
             merged[-1][1] = max(merged[-1][1], last)
         else:
             merged.append([first, last])
+    return [(a, b) for a, b in merged]
+
+
+def _summary(text: bytes, hit: dict) -> tuple[int, list[str], list[dict]]:
+    """(hit words, sorted items, character spans)."""
+    if not hit:
+        return 0, [], []
+    merged = _merged(hit["ranges"])
     at = [m.span() for m in _WORD.finditer(text)]
     spans, done, chars = [], 0, 0
     for first, last in merged:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from graphloom.llm import decontaminate
 from graphloom.llm.decontaminate import clean, contamination
 
@@ -45,7 +47,10 @@ def data():
     return docs, items
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1 << 24, 1000])
+def test_against_brute_force(spark, monkeypatch, block):
+    """With one automaton, and with a benchmark beyond its size bound."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     docs, items = data()
     d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
     got = contamination(d, b).collect()
@@ -57,9 +62,12 @@ def test_against_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in clean(d, b).collect()} == {r.doc_id for r in got if not r.contaminated}
 
 
-def test_blocks(monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
-    assert [len(x) for x in decontaminate._blocks([(1, b"x" * 8), (2, b"y" * 8), (3, b""), (4, b"z" * 50)])] == [1, 2, 1]
+def test_parts_hold_every_item_once(spark, monkeypatch):
+    items = [(i % 40, "word " * (i % 7)) for i in range(100)] + [(None, "x"), (50, None)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    parts = [sent.value for _, sent in decontaminate._parts(spark.createDataFrame(items, "item_id long, text string"))]
+    assert len(parts) > 3 and sorted(x for p in parts for x in p) == sorted((str(i), t.encode()) for i, t in items if i is not None and t is not None)
+    assert all(not {i for i, _ in p} & {i for i, _ in q} for p in parts for q in parts if p is not q)
 
 
 def test_empty_tables_and_clashing_columns(spark):
@@ -68,3 +76,11 @@ def test_empty_tables_and_clashing_columns(spark):
     assert [tuple(r)[:4] for r in contamination(docs, none).collect()] == [(1, 3, 0, 0)]
     assert contamination(docs.limit(0), none).collect() == []
     assert [tuple(r) for r in clean(docs, none).collect()] == [(1, "a b c", "x")]
+
+
+def test_clashing_columns_over_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    docs = spark.createDataFrame([(1, "a b c", "x", 1), (2, "q", "y", 2)], "doc_id long, text string, hits string, _hits int")
+    items = spark.createDataFrame([(1, "a b"), (2, "c")], "item_id long, text string")
+    assert [tuple(r)[:5] for r in contamination(docs, items).orderBy("doc_id").collect()][0][:4] == (1, 3, 3, 2)
+    assert [tuple(r) for r in clean(docs, items).collect()] == [(2, "q", "y", 2)]
