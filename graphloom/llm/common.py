@@ -124,12 +124,14 @@ def every_salt() -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
 
 
-def with_group(rows: DataFrame, keys: list[str], members: list[str], **values: tuple) -> DataFrame:
-    """``rows`` with aggregates over their group, each (min or max, column); members of a group are dealt over tasks by a salt.
+def with_group(rows: DataFrame, keys: list[str], members: list[str], where: str | None = None, **values: tuple) -> DataFrame:
+    """``rows`` with aggregates over their group, each (min or max, column), of groups that pass ``where``.
 
-    What a group shares goes once to each salt that the group has rows with.
+    Members of a group are dealt over tasks by a salt. Aggregating combines a group's rows before they move, and the same
+    aggregation notes, in a bit each, which salts the group has rows with; what the group shares goes once to each of those.
     """
     salted = rows.select("*", salt(*members))
-    part = salted.groupBy(*keys, "salt").agg(*(f(c).alias(name) for name, (f, c) in values.items()))
-    whole = part.groupBy(*keys).agg(*(f(name).alias(name) for name, (f, _) in values.items()), F.collect_list("salt").alias("salts"))
-    return salted.join(whole.select(*keys, *values, F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")
+    whole = salted.groupBy(*keys).agg(*(f(c).alias(name) for name, (f, c) in values.items()), F.bit_or(F.expr("shiftleft(1L, CAST(salt AS INT))")).alias("salts"))
+    whole = whole.where(where) if where else whole
+    spread = F.explode(F.filter(every_salt(), lambda i: F.bit_get("salts", i.cast("int")) == 1)).alias("salt")
+    return salted.join(whole.select(*keys, *values, spread), [*keys, "salt"]).drop("salt")

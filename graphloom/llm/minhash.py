@@ -233,8 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     # Buckets with two members or more; the smallest member is the hub.
     entries = own.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    grouped = with_group(entries, ["key"], ["rep"], hub=(F.min, "rep"), other=(F.max, "rep"))
-    buckets = materialise(grouped.where("hub < other").select("key", "rep", "hub").distinct(), "buckets")
+    buckets = materialise(with_group(entries, ["key"], ["rep"], "hub < other", hub=(F.min, "rep"), other=(F.max, "rep")).select("key", "rep", "hub").distinct(), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sketches = materialise(own.join(involved, "doc_id", "left_semi").select("doc_id", *sketch_columns), "sketches")
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
