@@ -42,6 +42,13 @@ def rank(symbols: DataFrame, query: str | None, seen: list[str] | None = None, f
     return symbols.withColumn("score", sum((w[k] * v for k, v in parts.items()), F.lit(0.0)))
 
 
+def semantic_symbols(symbols: DataFrame, embeddings: DataFrame, vector: list[float], k: int = 20, kinds: list[str] | None = None) -> DataFrame:
+    """The ``k`` symbols of some kinds whose embedding (symbol_id, embedding) is nearest by cosine, exactly, with distance and score."""
+    near = X.cosine_distance(F.col("embedding"), F.lit([float(v) for v in vector]))
+    found = symbols.where(is_in("kind", kinds)).join(embeddings.select(F.col("symbol_id").alias("id"), near.alias("distance")), "id")
+    return found.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k).withColumn("score", 1 - F.col("distance"))
+
+
 def semantic_search(embeddings: DataFrame, vector: list[float], k: int = 20, kinds: list | None = None) -> DataFrame:
     """vec_id, distance, score of the ``k`` nearest by cosine, exactly; the query vector is a literal, so nothing is shuffled but k rows of each task."""
     wanted = embeddings.where(F.col("label").isin(*kinds)) if kinds else embeddings

@@ -154,6 +154,11 @@ def _(spark, d):
     return A.pagerank(materialise(edges(spark, d), "edges"))
 
 
+@query("top_pagerank", f"SELECT * FROM ({_pagerank_sql()}) ORDER BY pagerank DESC, id LIMIT 10")
+def _(spark, d):
+    return A.pagerank(materialise(edges(spark, d), "edges")).orderBy(F.desc("pagerank"), "id").limit(10)
+
+
 def _lpa_sql(rounds: int = 6) -> str:
     out = f"""WITH {MATERIALIZED}, votes AS MATERIALIZED (SELECT a, b, sum(w) AS w FROM (SELECT src AS a, tgt AS b, 1 AS w FROM edges UNION ALL SELECT tgt, src, 1 FROM edges UNION ALL SELECT id, id, 1 FROM symbols) GROUP BY a, b),
 l0 AS MATERIALIZED (SELECT id, id AS label FROM symbols)"""
@@ -210,7 +215,7 @@ def _(spark, d):
     return R.column_edges(refs, symbols(spark, d)).select("ref_id", "src", "tgt", "edge_type", "confidence")
 
 
-@query("enclosing_range", """WITH r AS (SELECT l_partkey % 20 AS file_id, l_linenumber * 10 + l_orderkey % 7 AS start_line, l_linenumber * 10 + l_orderkey % 7 + l_quantity::INTEGER AS end_line, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_orderkey < 400),
+@query("enclosing_range", """WITH r AS (SELECT l_partkey % 20 AS file_id, l_linenumber * 10 + l_orderkey % 7 AS start_line, l_linenumber * 10 + l_orderkey % 7 + l_quantity::INTEGER AS end_line, l_orderkey * 10 + l_linenumber AS id FROM lineitem),
 p AS (SELECT p_partkey AS point_id, p_partkey % 20 AS file_id, p_size + 5 AS line FROM part) SELECT point_id, id FROM (SELECT point_id, id, row_number() OVER (PARTITION BY point_id ORDER BY end_line - start_line, id) AS n FROM p JOIN r USING (file_id) WHERE start_line <= line AND line <= end_line) WHERE n = 1""")
 def _(spark, d):
     begin = F.col("l_linenumber") * 10 + F.col("l_orderkey") % 7
@@ -219,10 +224,10 @@ def _(spark, d):
     return R.innermost(points, ranges)
 
 
-@query("positional_zip", "WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS x, list(l_suppkey ORDER BY l_linenumber DESC, l_suppkey DESC)[:3] AS y FROM lineitem GROUP BY l_orderkey), z AS (SELECT l_orderkey, unnest(range(0, least(len(x), len(y)))) AS pos, x, y FROM a) SELECT l_orderkey, pos::INTEGER AS pos, x[pos + 1] AS \"left\", y[pos + 1] AS \"right\" FROM z")
+@query("positional_zip", "WITH a AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS x, list_reverse_sort(list(DISTINCT l_suppkey)) AS y FROM lineitem GROUP BY l_orderkey), z AS (SELECT l_orderkey, unnest(range(0, least(len(x), len(y)))) AS pos, x, y FROM a) SELECT l_orderkey, pos::INTEGER AS pos, x[pos + 1] AS \"left\", y[pos + 1] AS \"right\" FROM z")
 def _(spark, d):
-    by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"), F.reverse(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))).alias("y"))
-    by = by.select("l_orderkey", F.transform("x", lambda v: v["l_partkey"]).alias("x"), F.slice(F.transform("y", lambda v: v["l_suppkey"]), 1, 3).alias("y"))
+    by = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"), F.reverse(F.array_sort(F.collect_set("l_suppkey"))).alias("y"))
+    by = by.select("l_orderkey", F.transform("x", lambda v: v["l_partkey"]).alias("x"), "y")
     return R.positional_pairs(by, "l_orderkey", "x", "y")
 
 

@@ -44,3 +44,19 @@ def layer_case(kind: str = "kind", qualified: str = "qualified_name", name: str
     for key in ("api", "data", "business", "infrastructure"):
         out += f" WHEN {kind} IN ('class', 'type') AND (" + " OR ".join(f"ends_with(lower({name}), '{s}')" for s in V.LAYER_SUFFIXES[key]) + f") THEN '{key}'"
     return out + f" WHEN {kind} IN ({words(V.CROSS_CUTTING_KINDS)}) THEN 'cross-cutting' ELSE 'unknown' END"
+
+
+def common_substring(column: str, text: str) -> str:
+    """Length of the longest substring of a short ASCII text that is in a column."""
+    parts = {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+    sizes = ", ".join(f"CASE WHEN contains({column}, '{x}') THEN {len(x)} ELSE 0 END" for x in sorted(parts))
+    return f"greatest({sizes})::INTEGER"
+
+
+def relevance_case(text: str) -> str:
+    """The relevance of a symbol to a short ASCII query in lower case."""
+    common = common_substring("lower(name)", text)
+    return (
+        f"CASE WHEN lower(name) = '{text}' THEN 1.0 WHEN lower(qualified_name) = '{text}' THEN 0.95 WHEN contains(lower(name), '{text}') THEN 0.8 WHEN contains(lower(qualified_name), '{text}') THEN 0.6"
+        f" WHEN contains('{text}', lower(name)) THEN 0.5 WHEN {common} > 2 THEN {common}::DOUBLE / greatest(octet_length(encode(lower(name))), {len(text)}) * 0.4 ELSE 0.0 END::DOUBLE"
+    )

@@ -10,7 +10,7 @@ from ..operators import analytics as A
 from ..operators import search as S
 from ..operators.graph_tables import edges, symbols, table
 from ..storage import insert_missing, latest, merge_maps, upsert
-from .oracle_parts import DEGREES, EDGES, GRAPH, SYMBOLS, layer_case
+from .oracle_parts import DEGREES, EDGES, GRAPH, SYMBOLS, layer_case, relevance_case
 
 QUERIES: dict = {}
 
@@ -147,8 +147,7 @@ def _(spark, d):
     return S.ranked_search(s.join(A.degrees(s, edges(spark, d)), "id"), "nation_1").select("id", "name", "tier", "in_degree")
 
 
-@query("rank_composite", f"""WITH {GRAPH}, {DEGREES} SELECT id, round(0.30 * CASE WHEN lower(name) = 'nation_1' THEN 1.0 WHEN lower(qualified_name) = 'nation_1' THEN 0.95 WHEN contains(lower(name), 'nation_1') THEN 0.8
- WHEN contains(lower(qualified_name), 'nation_1') THEN 0.6 WHEN contains('nation_1', lower(name)) THEN 0.5 ELSE 0.0 END
+@query("rank_composite", f"""WITH {GRAPH}, {DEGREES} SELECT id, round(0.30 * {relevance_case('nation_1')}
  + 0.20 * CASE WHEN in_degree > 0 THEN least(1.0, ln(1 + in_degree) / ln(51)) ELSE 0.0 END + 0.20 * CASE WHEN id IN ('N:18') THEN 1.0 ELSE 0.3 END
  + 0.15 * CASE kind WHEN 'table' THEN 1.0 WHEN 'class' THEN 0.95 WHEN 'interface' THEN 0.85 WHEN 'module' THEN 0.8 WHEN 'package' THEN 0.8 ELSE 0.3 END
  + 0.15 * CASE WHEN id IN ('R:2') THEN 0.1 ELSE 1.0 END, 6) AS score FROM symbols JOIN degrees USING (id)""")
@@ -166,6 +165,16 @@ def _(spark, d):
     return S.semantic_search(e, first[0] if first else [], 20, [1, 2, 3]).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("semantic_symbols", f"""WITH {SYMBOLS}, q AS (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1)
+SELECT id, name, kind, language, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 6) AS distance FROM embeddings CROSS JOIN q JOIN symbols ON id = 'P:' || vec_id WHERE kind IN ('table', 'class') ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), id LIMIT 20""")
+def _(spark, d):
+    """The symbols nearest to a vector, of some kinds."""
+    e = table(spark, d, "embeddings")
+    first = e.orderBy("vec_id").select("embedding").first()
+    given = e.select(F.concat(F.lit("P:"), F.col("vec_id").cast("string")).alias("symbol_id"), "embedding")
+    return S.semantic_symbols(symbols(spark, d), given, first[0] if first else [], 20, ["table", "class"]).select("id", "name", "kind", "language", F.round("distance", 6).alias("distance"))
+
+
 @query("dedup_latest", "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def _(spark, d):
     return latest(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id", "value")

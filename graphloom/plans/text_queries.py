@@ -8,7 +8,7 @@ from ..functions import exprs as X
 from ..functions import vocabulary as V
 from ..operators import search as S
 from ..operators.graph_tables import symbols, table
-from .oracle_parts import SYMBOLS, words
+from .oracle_parts import SYMBOLS, common_substring, relevance_case, words
 
 QUERIES: dict = {}
 
@@ -48,7 +48,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", X.looks_like_sql(F.col("text")).alias("is_sql"))
 
 
-@query("table_refs", f"""WITH t AS (SELECT conv_id, turn, 'select * from ' || replace(left(text, 60), '.', ' ') || ' join Orders into Log, x exec run_it; delete From set' AS sql FROM conversations WHERE role = 'user'),
+@query("table_refs", f"""WITH t AS (SELECT conv_id, turn, 'select * from ' || replace(text, '.', ' ') || ' join Orders into Log, x exec run_it; delete From set' AS sql FROM conversations WHERE role = 'user'),
 r AS (SELECT conv_id, turn, unnest(regexp_extract_all(sql, '(?i)(?:FROM|JOIN) \\s*([^\\s,;)(]+)', 1)) AS name, 'uses_table' AS reference_type FROM t
  UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(sql, '(?i)(?:INTO|UPDATE|DELETE|MERGE) \\s*([^\\s,;)(]+)', 1)), 'writes_to' FROM t
  UNION ALL SELECT conv_id, turn, 'run_it', 'calls' FROM t)
@@ -63,7 +63,7 @@ def _phrases(table_, column: str, other: str) -> str:
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({column}, {chr(39)}{p}{chr(39)})' for p in phrases)} THEN '{name}'" for name, phrases in table_) + f" ELSE '{other}' END"
 
 
-_QUESTION = "('What ' || CASE conv_id % 13 WHEN 0 THEN 'breaks if I change' WHEN 1 THEN 'tables does this endpoint use' WHEN 2 THEN 'is the data flow of' WHEN 3 THEN 'are the most used' WHEN 4 THEN 'foreign key links' WHEN 5 THEN 'depends on' WHEN 6 THEN 'is this overview' WHEN 7 THEN 'statistics exist for' WHEN 8 THEN 'polyglot parts touch' WHEN 9 THEN 'workflow has' WHEN 10 THEN 'columns and methods does it find: rename' WHEN 11 THEN 'upstream data come from' ELSE 'of' END || ' ' || left(text, 80) || '?')"
+_QUESTION = "('What ' || CASE conv_id % 13 WHEN 0 THEN 'breaks if I change' WHEN 1 THEN 'tables does this endpoint use' WHEN 2 THEN 'is the data flow of' WHEN 3 THEN 'are the most used' WHEN 4 THEN 'foreign key links' WHEN 5 THEN 'depends on' WHEN 6 THEN 'is this overview' WHEN 7 THEN 'statistics exist for' WHEN 8 THEN 'polyglot parts touch' WHEN 9 THEN 'workflow has' WHEN 10 THEN 'columns and methods does it find: rename' WHEN 11 THEN 'upstream data come from' ELSE 'of' END || ' ' || text || '?')"
 
 
 def _questions(spark, d):
@@ -121,7 +121,7 @@ def _(spark, d):
     return symbols(spark, d).select("id", X.embedding_text(F.col("kind"), F.col("qualified_name"), F.col("language"), F.col("name")).alias("text"))
 
 
-@query("lcs_rank")
+@query("lcs_rank", f"WITH {SYMBOLS} SELECT id, {common_substring('lower(name)', 'united nations')} AS common, round({relevance_case('united nations')}, 6) AS relevance FROM symbols")
 def _(spark, d):
     return symbols(spark, d).select("id", X.longest_common_substring(F.lower("name"), F.lit("united nations")).alias("common"), F.round(X.relevance(F.col("name"), F.col("qualified_name"), "united nations"), 6).alias("relevance"))
 
