@@ -18,6 +18,8 @@ from ..operators.access import Principal, clamp, visible
 #: Tokens of an answer, and the lines that a table of an answer has at most by default.
 BUDGET = 4000
 PAGE, MOST = 20, 100
+#: Seeds that a topic gives a subgraph.
+SEEDS = 5
 
 
 def tokens(text: str) -> int:
@@ -80,10 +82,13 @@ class Session:
 
 
 class Project:
-    """Symbols (id, name, qualified_name, kind, language, file_id, source_id) and edges of one project."""
+    """Symbols (id, name, qualified_name, kind, language, file_id, source_id) and edges of one project.
 
-    def __init__(self, spark: SparkSession, symbols: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None, who: Principal | None = None, tenant_column: str | None = None):
-        self.spark, self.edges, self.embeddings = spark, edges, embeddings
+    ``embed`` turns a text column into vectors as those of ``embeddings`` were made.
+    """
+
+    def __init__(self, spark: SparkSession, symbols: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None, who: Principal | None = None, tenant_column: str | None = None, embed=S.hash_embedding):
+        self.spark, self.edges, self.embeddings, self.embed = spark, edges, embeddings, embed
         self.symbols = visible(symbols, who, tenant_column) if who and tenant_column else symbols
 
     def ranked(self) -> DataFrame:
@@ -122,12 +127,18 @@ class Project:
         return T.trace(self.symbols, self.edges, root, direction, depth)
 
     def subgraph(self, topic: str | None = None, seeds: list[str] | None = None, kinds: list[str] | None = None, depth: int = 2, most: int = 50, budget: int = BUDGET, verbosity: str = "standard") -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges): seeds are the given ids, else the search's hits, else the symbols of the kinds that are used most."""
+        """(nodes, edges): seeds are the given ids, else the text search's hits, else the nearest by embedding (symbol_id), else the symbols of the kinds that are used most."""
+        start = None
         if seeds:
             start = self.symbols.where(F.col("id").isin(*seeds)).select("id")
         elif topic:
-            start = S.search(self.symbols, topic, kinds, limit=5).select("id")
-        else:
+            start = S.search(self.symbols, topic, kinds, limit=SEEDS).select("id")
+            if start.isEmpty() and self.embeddings is not None and "symbol_id" in self.embeddings.columns:
+                vector = self.spark.range(1).select(self.embed(F.lit(topic))).first()[0]
+                start = S.semantic_symbols(self.symbols, self.embeddings, vector, SEEDS, kinds).where("distance is not null").select("id")
+            if kinds and start.isEmpty():
+                start = None
+        if start is None:
             start = self.ranked().where(S.is_in("kind", kinds)).orderBy(F.desc("in_degree"), "id").limit(most).select("id")
         found = T.subgraph(self.symbols, self.edges, start, depth, most)
         signature = F.col("signature") if "signature" in self.symbols.columns else F.lit(None).cast("string")

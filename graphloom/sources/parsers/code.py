@@ -69,6 +69,18 @@ def _marks(src: str, bare: str, at: int) -> str:
     return src[begin:at]
 
 
+def _mappings(f: Facts, src: str, bare: str, at: int, source: str, line: Lines) -> None:
+    """References of the declaration at ``at`` to what its mapping annotations name: the first literal of each, unless empty."""
+    for m in re.compile(r"@[\w.]*Mapping\w*\s*\(").finditer(bare, at - len(_marks(src, bare, at)), at):
+        end, depth = m.end(), 1
+        while end < at and depth:
+            depth += (bare[end] == "(") - (bare[end] == ")")
+            end += 1
+        path = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"").search(src, m.end(), end)
+        if path and path[1]:
+            f.ref(source, path[1], "references", line(m.start()))
+
+
 def java(path: str, text: str) -> Facts:
     f, line, scopes = Facts(), Lines(text), _Scopes()
     src = _blank(text, _C_COMMENTS)
@@ -96,11 +108,12 @@ def java(path: str, text: str) -> Facts:
             f.ref(full, table[1] if table else m[2], "uses_table", line(m.start()), confidence=0.95 if table else 0.85)
         for q in re.finditer(r"@Named(?:Native)?Query\s*\([^)]*?query\s*=\s*\"([^\"]*)\"", marks):
             f.sql(q[1], line(m.start()), full, "")
+        _mappings(f, src, bare, m.start(), full, line)
         if repository:
             f.ref(full, repository[1], "uses_table", line(m.start()), confidence=0.85)
             for d in re.finditer(r"\b(?:find|get|read|count|exists|delete|query)\w*By\w*\s*\(", src[m.end() : end]):
                 f.ref(full, repository[1], "uses_table", line(m.end() + d.start()), confidence=0.8)
-    for m in re.finditer(r"(?m)(?:^|(?<=[{};]))[ \t]*((?:@\w+(?:\([^)\n]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w., ]+)?\s*([{;])", src):
+    for m in re.finditer(r"(?m)(?:^|(?<=[{};]))[ \t]*((?:@\w+(?:\([^)\n]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|default|native)\s+)*)(?:<[^>]+>\s+)?([\w.<>\[\], ?]+?)\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)\s*(?:throws\s+[\w., ]+)?\s*([{;])", src):
         owner = scopes.at(m.start(3))
         if not owner or m[2].split()[-1] in ("return", "new", "throw", "else", "case") or m[3] in ("if", "for", "while", "switch", "catch"):
             continue
@@ -108,6 +121,7 @@ def java(path: str, text: str) -> Facts:
         full = f"{owner}.{m[3]}"
         f.symbol(m[3], full, "method", line(m.start(3)), line(end), f"{m[2].strip()} {m[3]}({' '.join(m[4].split())})", owner)
         scopes.add(m.start(), end, full)
+        _mappings(f, src, bare, m.start(3), full, line)
     for m in re.finditer(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:private|protected|public)\s+(?:static\s+|final\s+)*([\w.<>\[\], ?]+?)\s+(\w+)\s*(?:=[^;]*)?;", src):
         owner = scopes.at(m.start())
         if owner:

@@ -1,4 +1,5 @@
 from graphloom.operators.access import Principal
+from graphloom.operators.search import embed_missing
 from graphloom.plans.api import Project, Session, first_json_object, to_markdown, tokens
 
 SYMBOLS = "id string, name string, qualified_name string, kind string, language string, file_id string, tenant_id string"
@@ -25,6 +26,17 @@ def test_questions(spark):
     assert project(spark, Principal("a")).symbols.count() == 2
 
 
+def test_subgraph_seeds(spark):
+    p = project(spark)
+    core = lambda topic, kinds=None: {r.id for r in p.subgraph(topic, kinds=kinds, depth=1)[0].collect() if r.core}
+    assert core("customers table list") == set() and core("customers table list", ["table"]) == {"T"}
+    p.embeddings = embed_missing(p.symbols, spark.createDataFrame([], "symbol_id string, embedding array<float>"))
+    assert core("GetCustomer") == {"P"}
+    assert core("customers table list", ["procedure", "class"]) == {"P", "C"} and core("customers table list", ["table"]) == {"T"}
+    p.embeddings = p.embeddings.where("symbol_id = 'T'")
+    assert core("customers table list") == {"T"} and core("...") == set()
+
+
 def test_answers(spark):
     df = spark.range(50)
     text = to_markdown(df, "rows", budget=40)

@@ -116,6 +116,26 @@ interface Repo extends JpaRepository<User, Long> {
     assert sum(x["to_name"] == "User" for x in parse_text("R.java", "java", "interface R extends CrudRepository<User, Long> { User findByA(int a); User findByB(int b); }").refs) == 3
 
 
+def test_java_mappings():
+    s, r, _ = facts("java", """package p;
+@RestController
+@RequestMapping("/orders/{id}")
+public class Orders {
+  @Resource private Store store;
+  @GetMapping(produces = TEXT, value = {"/a;b", "/c"})
+  // @PutMapping("/not")
+  public String all(@RequestParam("x") int x) { call("@PostMapping(\\"/nor\\")"); return null; }
+  @DeleteMapping
+  public void none() { }
+  @PostMapping(
+      path = "/new"
+  )
+  String make(String s) { return s; }
+}""")
+    assert ("method", "p.Orders.all") in s
+    assert {x for x in r if x[0] == "references"} == {("references", "p.Orders", "/orders/{id}"), ("references", "p.Orders.all", "/a;b"), ("references", "p.Orders.make", "/new")}
+
+
 def test_javascript():
     s, r, _ = facts("typescript", """import { a } from 'lib'; const fs = require("fs");
 @Entity('users') export class User extends Base implements Named { save(x: number): void { pool.query("SELECT * FROM customers"); } }
