@@ -55,7 +55,7 @@ class _Script:
     def name(self, t: list[Token], i: int) -> tuple[str, int]:
         """A dotted name at ``i`` and the position behind it; empty if there is none."""
         parts = []
-        while i < len(t) and (t[i].kind in ("word", "quoted") or t[i].text == "." and parts == [] and False):
+        while i < len(t) and t[i].kind in ("word", "quoted"):
             parts.append(t[i].text)
             if i + 1 < len(t) and t[i + 1].text == ".":
                 i += 2
