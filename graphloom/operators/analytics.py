@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import vocabulary as V
 from ..storage import materialise
+from .propagation import propagate
 
 ITERATIONS, DAMPING = 20, 0.85
 ROUNDS, LEAST_MEMBERS = 20, 3
@@ -56,20 +57,7 @@ def label_propagation(symbols: DataFrame, edges: DataFrame, rounds: int = ROUNDS
 
     The vote for oneself keeps bipartite parts from swapping labels for ever. Stops when nothing changes, or after ``rounds``.
     """
-    pairs = edges.select(F.col("src").alias("a"), F.col("tgt").alias("b"))
-    votes = pairs.union(pairs.select("b", "a")).groupBy("a", "b").agg(F.count("*").alias("w"))
-    own = symbols.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1).cast("long").alias("w"))
-    links = materialise(votes.join(symbols.select(F.col("id").alias("a")), "a", "left_semi").union(own).groupBy("a", "b").agg(F.sum("w").alias("w")).repartition("b"), "votes")
-    labels = materialise(symbols.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(rounds):
-        counted = links.join(labels, F.col("b") == F.col("id")).groupBy("a", "label").agg(F.sum("w").alias("w"))
-        best = counted.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label"))).alias("m"))
-        new = materialise(best.select(F.col("a").alias("id"), F.col("m.label").alias("label")), "labels")
-        changed = not new.join(labels, ["id", "label"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
-            break
-    return labels
+    return propagate(symbols, edges, rounds)
 
 
 def clusters(symbols: DataFrame, edges: DataFrame, rounds: int = ROUNDS, least: int = LEAST_MEMBERS) -> DataFrame:

@@ -31,11 +31,35 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/work/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back: its lineage ends there, and no lost executor takes it along."""
-    path = work_path(df.sparkSession, tag)
-    df.write.option("compression", "lz4").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark takes a query's shuffle files away at its end, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back: its lineage ends there, and no lost executor takes it along.
+
+    With ``release`` the shuffle files of the writing are deleted as soon as it is done.
+    """
+    spark = df.sparkSession
+    path, before = work_path(spark, tag), spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "lz4").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    spark = df.sparkSession
+    work = f"{shared_dir(spark)}/work/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName() and path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(work).toUri().getPath()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
