@@ -3,9 +3,11 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from graphloom.operators import analytics as A
+from graphloom.operators import propagation as P
 from graphloom.storage import shared_dir
 
 
@@ -44,7 +46,7 @@ def by_hand(ids, edges, rounds):
     return label
 
 
-@pytest.mark.parametrize("run", [A.clusters])
+@pytest.mark.parametrize("run", [A.clusters, A.label_propagation])
 def test_rounds_leave_no_exchange_and_no_links_on_disk(spark, run):
     ids, edges = random_graph(200, 600, 1)
     before, work = shuffled(spark), os.path.join(shared_dir(spark).removeprefix("file://"), "work")
@@ -53,3 +55,27 @@ def test_rounds_leave_no_exchange_and_no_links_on_disk(spark, run):
     assert not shuffled(spark) - before
     assert {t.split("-")[0] for t in set(os.listdir(work)) - tables} == {"nodes", "labels"}
     assert got.count() == 200
+
+
+def test_many_blocks_against_python(spark, monkeypatch):
+    """Parallel edges, loops and unknown or null ends, with links of a few hundred nodes in many blocks; one hub."""
+    monkeypatch.setattr(P, "BLOCK_NODES", 50)
+    monkeypatch.setattr(P, "BLOCK_LINKS", 150)
+    ids, edges = random_graph(230, 700, 2)
+    edges += [(ids[0], x) for x in ids]
+    for rounds in (1, 3):
+        got = A.label_propagation(*frames(spark, ids, edges), rounds)
+        assert {r.id: r.label for r in got.collect()} == by_hand(ids, edges, rounds)
+
+
+def test_without_nodes_or_edges(spark):
+    symbols, edges = frames(spark, ["a", "b"], [("x", "y")])
+    assert A.label_propagation(symbols.limit(0), edges, 3).collect() == []
+    assert sorted(map(tuple, A.label_propagation(symbols, edges.limit(0), 3).collect())) == [("a", "a"), ("b", "b")]
+    assert sorted(map(tuple, A.clusters(symbols, edges, 3).collect())) == [("a", 0), ("b", 0)]
+
+
+def test_packed_numbers():
+    for x in ([], [0], [255, 256], [3, 2**32 - 1], [2**64 - 1, 0]):
+        x = np.array(x, np.uint64)
+        assert P.unpack(P.pack(x)).tolist() == x.tolist() and P.unpack_sorted(P.pack_sorted(np.sort(x))).tolist() == sorted(x.tolist())
