@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from graphloom.llm.classifier import CUT, classify, features, fit, keep_good
+from graphloom.llm.classifier import CUT, classify, features, fit, keep_good, train
 
 SCHEMA = "doc_id long, text string, score string"
 
@@ -54,3 +54,33 @@ def test_pairwise_weights_follow_the_features():
     ranker = fit(x, label)
     assert np.argmax(np.abs(ranker.weights)) == 2 and ranker.weights[2] > 0
     assert abs(int((ranker.score(x) < CUT).sum()) - int((label == 0).sum())) <= 1
+
+
+def test_weights_are_those_of_all_pairs():
+    """The gradient of the loss over every pair of a good and a bad row, made one by one, is 0 at the weights."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, len(features(b""))))
+    label = (x[:, 2] - x[:, 4] + rng.normal(size=500) > -1).astype(int)
+    r = fit(x, label)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, x.shape[1])
+    assert np.abs(d.T @ (-1 / (1 + np.exp(d @ r.weights))) / len(d) + 1e-3 * r.weights).max() < 1e-5
+    order = np.sort(r.latent(x))
+    bad = int((label == 0).sum())
+    assert r.cutoff == (order[bad - 1] + order[bad]) / 2
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """More labelled documents than come to the driver: the same model as from all of them there."""
+    docs, labels = corpus()
+    d, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    there, here = train(d, lab, rows=100), train(d, lab)
+    for name in ("centre", "scale", "weights", "cutoff", "slope"):
+        assert np.allclose(getattr(there, name), getattr(here, name), rtol=1e-6, atol=1e-6), name
+
+
+def test_ties_at_the_cutoff():
+    x = np.zeros((10, len(features(b""))))
+    x[:3, 0] = -1
+    r = fit(x, np.array([0, 0, 0, 0, 1, 1, 1, 1, 1, 1]))
+    assert np.sort(r.latent(x))[3] == r.cutoff == np.sort(r.latent(x))[4]
