@@ -59,10 +59,12 @@ def _batch(p: int, kind: int, n: int, x: bytes, y: bytes | None = None, z: bytes
 
 def _deal(key: np.ndarray, value: np.ndarray, blocks: int, kind: int) -> Iterator[pa.RecordBatch]:
     """Rows of (key // blocks, value) for block key % blocks, ascending."""
-    block, rest = key % np.uint64(blocks), key // np.uint64(blocks)
-    order = np.lexsort((rest, block))
-    block, rest, value = block[order], rest[order], value[order]
-    bounds = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
+    order = np.argsort(key)
+    block = (key[order] % np.uint64(blocks)).astype(np.min_scalar_type(blocks))  # a stable sort of 16 bits takes linear time
+    by_block = np.argsort(block, kind="stable")
+    block, order = block[by_block], order[by_block]
+    rest, value = key[order] // np.uint64(blocks), value[order]
+    bounds = np.searchsorted(block, np.arange(blocks + 1, dtype=block.dtype))
     for p in np.flatnonzero(np.diff(bounds)):
         at = slice(bounds[p], bounds[p + 1])
         yield _batch(int(p), kind, int(bounds[p + 1] - bounds[p]), pack_sorted(rest[at]), pack(value[at]))
@@ -164,7 +166,7 @@ def _links(nodes: DataFrame, total: int, edges: DataFrame) -> tuple[DataFrame, i
             target = listener % np.uint64(blocks) * np.uint64(places) + listener // np.uint64(blocks)
             for p in np.unique(block):
                 own = block == p
-                order = np.argsort(target[own], kind="stable")
+                order = np.argsort(target[own])
                 yield _batch(int(p), 1, len(order), pack_sorted(target[own][order]), pack(speaker[own][order]))
 
         return _held(parts(), run)
