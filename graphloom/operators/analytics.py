@@ -52,15 +52,16 @@ def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DA
     return nodes.join(ranks, "n").select("id", value.alias("pagerank"))
 
 
-def label_propagation(symbols: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def label_propagation(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """id, label: every symbol takes the commonest label among its neighbours and itself, the smallest of equals, all at once.
 
     The vote for oneself keeps bipartite parts from swapping labels for ever. Stops when nothing changes, or after ``rounds``.
+    Edges may come in parts, which are read one after another, so that the room each needs on disk is free before the next.
     """
     return propagate(symbols, edges, rounds)
 
 
-def clusters(symbols: DataFrame, edges: DataFrame, rounds: int = ROUNDS, least: int = LEAST_MEMBERS) -> DataFrame:
+def clusters(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: int = ROUNDS, least: int = LEAST_MEMBERS) -> DataFrame:
     """id, cluster_id: communities of at least ``least`` members numbered from 1 by their smallest member, 0 for all others."""
     labels = label_propagation(symbols, edges, rounds)
     groups = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") >= least)

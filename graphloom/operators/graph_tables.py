@@ -5,6 +5,8 @@ symbols: id, name, qualified_name, kind, language, file_id, source_id. edges: sr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,22 +43,32 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations contain into regions; customers and suppliers reference nations; customers use parts; parts depend on suppliers."""
+def _edge_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     c = F.col
     key = lambda prefix, k: F.concat(F.lit(prefix + ":"), c(k).cast("string"))
     none = F.lit(None).cast("double")
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     uses = line.join(order, c("l_orderkey") == c("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.round(F.avg("l_quantity") / 50, 4).alias("confidence"))
-    frames = [
+    return [
         table(spark, sf_dir, "nation").select(key("N", "n_nationkey"), key("R", "n_regionkey"), F.lit("contains"), none),
         table(spark, sf_dir, "customer").select(key("C", "c_custkey"), key("N", "c_nationkey"), F.lit("references"), none),
         table(spark, sf_dir, "supplier").select(key("S", "s_suppkey"), key("N", "s_nationkey"), F.lit("references"), none),
         uses.select(key("C", "o_custkey"), key("P", "l_partkey"), F.lit("uses_table"), c("confidence")),
         line.select("l_partkey", "l_suppkey").distinct().select(key("P", "l_partkey"), key("S", "l_suppkey"), F.lit("depends_on"), none),
     ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out.toDF("src", "tgt", "edge_type", "confidence")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames).toDF("src", "tgt", "edge_type", "confidence")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations contain into regions; customers and suppliers reference nations; customers use parts; parts depend on suppliers."""
+    return _union(_edge_frames(spark, sf_dir))
+
+
+def edge_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The rows of ``edges`` in two parts: what customers use, which needs the most room while it is found, and all others."""
+    contains, customers, suppliers, uses, depends = _edge_frames(spark, sf_dir)
+    return [_union([uses]), _union([contains, customers, suppliers, depends])]

@@ -3,22 +3,26 @@
 Nodes are numbered in the order of their ids, so that the smaller of two labels is the smaller number; node n is place n // blocks of
 block n % blocks. The links of a block, those by which its nodes are heard, are arrays in a few rows. A round sends each block's
 labels along its links, equal ones of a listener as one with a count, and the listener's block takes the commonest. Beside the
-links, only what one round sends lies on disk: each round's exchanges go when its labels are written.
+links, only what one round sends lies on disk: each round's exchanges go when its labels are written. Large sets of links are made
+slice by slice: each goes through its exchanges, which are deleted with what they came from, before the next.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..storage import discard, files, materialise
 
 #: Nodes and links of a block, about.
 BLOCK_NODES, BLOCK_LINKS = 65_536, 2_000_000
+#: From so many edges on, links are made in so many slices.
+SLICED, SLICES = 8_000_000, 4
 #: Values that a task holds before it deals them out.
 HELD = 4_000_000
 #: Packed arrays of n values each, for block p; kind 0 comes before kind 1.
@@ -131,20 +135,24 @@ def _numbered(symbols: DataFrame) -> tuple[DataFrame, int]:
     return placed.withColumn("part", part).join(F.broadcast(offsets), "part").select("id", (F.col("first") + row).alias("n")), total
 
 
-def _links(nodes: DataFrame, total: int, edges: DataFrame) -> tuple[DataFrame, int, int]:
+def _slices(table: DataFrame, count: int) -> list[DataFrame]:
+    """The rows of a materialised table of ``count`` edges, by its files."""
+    paths = files(table) if count >= SLICED else []
+    return [table.sparkSession.read.schema(table.schema).parquet(*paths[i::SLICES]) for i in range(min(SLICES, len(paths)))] or [table]
+
+
+def _links(nodes: DataFrame, total: int, parts: list[DataFrame]) -> tuple[DataFrame, int, int]:
     """The links as packed rows, in how many blocks, of how many nodes at most. Edges with an end that is no node are left out."""
     hash_blocks, seed = -(-total // BLOCK_NODES), 0
     hashed = lambda c: F.xxhash64(F.col(c), F.lit(seed))
     while nodes.select(hashed("id").alias("h")).distinct().count() < total:  # two ids with one hash
         seed += 1
-    table = _dealt(nodes.select(hashed("id"), "n"), hash_blocks, 0)
-    ends = edges.where("src is not null and tgt is not null").select(hashed("src"), hashed("tgt"))
-    pairs = materialise(_dealt(ends, hash_blocks, 1), "pairs", release=True)
+    table = materialise(_dealt(nodes.select(hashed("id"), "n"), hash_blocks, 0), "table", release=True)
+    ends = [p.where("src is not null and tgt is not null").select(hashed("src"), hashed("tgt")) for p in parts]
+    pairs = reduce(DataFrame.union, [materialise(_dealt(e, hash_blocks, 1), "pairs", release=True) for e in ends])
     count = pairs.agg(F.sum("n")).first()[0] or 0
     blocks = max(hash_blocks, -(-2 * count // BLOCK_LINKS))
     places = -(-total // blocks)
-    half = materialise(_looked_up(table, pairs, hash_blocks, lambda s, t: _deal(t, s, hash_blocks, 1)), "half", release=True)
-    discard(pairs)
 
     def both(t: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         return _deal(np.concatenate([s, t]), np.concatenate([t, s]), blocks, 1)
@@ -153,14 +161,13 @@ def _links(nodes: DataFrame, total: int, edges: DataFrame) -> tuple[DataFrame, i
         """Rows of listeners in ascending order, x being block * places + place, and of the speakers' places in this block."""
 
         def parts():
-            at = None
-            for p, _, _, x, y, _ in _rows(batches):
-                if p != at:
+            for p, kind, _, x, y, _ in _rows(batches):
+                if kind == 0:
                     own = np.arange(p, total, blocks, dtype=np.uint64)
                     yield np.full(len(own), p, np.uint64), own // np.uint64(blocks), own  # everyone hears itself
-                    at = p
-                x = unpack_sorted(x)
-                yield np.full(len(x), p, np.uint64), x, unpack(y)
+                else:
+                    x = unpack_sorted(x)
+                    yield np.full(len(x), p, np.uint64), x, unpack(y)
 
         def run(block, speaker, listener):
             target = listener % np.uint64(blocks) * np.uint64(places) + listener // np.uint64(blocks)
@@ -171,11 +178,16 @@ def _links(nodes: DataFrame, total: int, edges: DataFrame) -> tuple[DataFrame, i
 
         return _held(parts(), run)
 
-    every = _empty(nodes, blocks)
-    numbered = _looked_up(table, half, hash_blocks, both)
-    links = materialise(_by_block(every.union(numbered), blocks).mapInArrow(join, PACKED), "links", release=True)
-    discard(half)
-    return links, blocks, places
+    links, every = [], _empty(nodes, blocks)  # which the first slice takes along
+    for some in _slices(pairs, count):
+        half = materialise(_looked_up(table, some, hash_blocks, lambda s, t: _deal(t, s, hash_blocks, 1)), "half", release=True)
+        discard(some)
+        numbered = _looked_up(table, half, hash_blocks, both)
+        linked = numbered if links else every.union(numbered)
+        links.append(materialise(_by_block(linked, blocks).mapInArrow(join, PACKED), "links", release=True))
+        discard(half)
+    discard(table)
+    return reduce(DataFrame.union, links), blocks, places
 
 
 def _empty(df: DataFrame, blocks: int) -> DataFrame:
@@ -253,9 +265,10 @@ def _round(links: DataFrame, labels: DataFrame, blocks: int, places: int) -> Dat
     return _by_block(sent, blocks).mapInArrow(receive, PACKED)
 
 
-def propagate(symbols: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
+def propagate(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: int) -> DataFrame:
     """id, label after ``rounds`` rounds, or as many as change something.
 
+    Edges given in parts are read one part after another; what a part's exchanges leave on disk goes before the next.
     A block's links go through memory in parts, but all different labels that its nodes hear in a round are held at once. At most
     2^32 - 1 nodes. Ids are told apart by 64-bit hashes, which are checked to differ among symbols; an edge end that is no symbol
     is taken for one with probability 2^-64 a pair.
@@ -263,7 +276,7 @@ def propagate(symbols: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     nodes, total = _numbered(symbols)
     if not total or rounds < 1:
         return nodes.select("id", F.col("id").alias("label"))
-    links, blocks, places = _links(nodes, total, edges)
+    links, blocks, places = _links(nodes, total, edges if isinstance(edges, list) else [edges])
     if blocks * places >= 1 << 32:
         raise ValueError("more nodes than labels of 32 bits can tell apart")
     labels = _first(links, blocks, total)

@@ -9,7 +9,7 @@ from ..operators import analytics as A
 from ..operators import resolution as R
 from ..operators import search as S
 from ..operators import traversal as T
-from ..operators.graph_tables import edges, symbols, table
+from ..operators.graph_tables import edge_parts, edges, symbols, table
 from ..storage import materialise
 from .oracle_parts import DEGREES, EDGES, GRAPH, SYMBOLS
 
@@ -169,12 +169,12 @@ l0 AS MATERIALIZED (SELECT id, id AS label FROM symbols)"""
 
 @query("lpa", _lpa_sql())
 def _(spark, d):
-    return A.label_propagation(symbols(spark, d), edges(spark, d), 6)
+    return A.label_propagation(symbols(spark, d), edge_parts(spark, d), 6)
 
 
 @query("clusters", _lpa_sql().replace(" SELECT id, label FROM l6", ", g AS (SELECT label, row_number() OVER (ORDER BY min(id)) AS cluster_id FROM l6 GROUP BY label HAVING count(*) >= 3) SELECT id, coalesce(cluster_id, 0)::INTEGER AS cluster_id FROM l6 LEFT JOIN g USING (label)"))
 def _(spark, d):
-    return A.clusters(symbols(spark, d), edges(spark, d), 6)
+    return A.clusters(symbols(spark, d), edge_parts(spark, d), 6)
 
 
 @query("suffix_resolve", f"""WITH {SYMBOLS}, refs AS (SELECT DISTINCT n_name || '.' || c_name AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT 'no.such'),

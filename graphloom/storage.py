@@ -52,14 +52,31 @@ def materialise(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(df: DataFrame) -> list[str]:
+    """Paths of the files that ``df`` reads."""
+    jvm = df.sparkSession._jvm
+    return [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)).toString() for f in df.inputFiles()]  # they come as encoded URIs
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    spark = df.sparkSession
-    work = f"{shared_dir(spark)}/work/"
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if path.getName() and path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(work).toUri().getPath()):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the files of a materialised table, or of what is read of one, that nothing reads any more."""
+    spark, folders = df.sparkSession, {}
+    for f in files(df):
+        folder, name = f.rsplit("/", 1)
+        folders.setdefault(folder, set()).add(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    work = path(f"{shared_dir(spark)}/work/").toUri().getPath() + "/"
+    for folder, names in folders.items():
+        at = path(folder)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not at.toUri().getPath().startswith(work) or not fs.exists(at):
+            continue
+        there = {s.getPath().getName() for s in fs.listStatus(at)}
+        if any(n[0] not in "._" for n in there - names):
+            for n in names & there:
+                fs.delete(path(at, n), False)
+        else:
+            fs.delete(at, True)
 
 
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -2,13 +2,14 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pytest
 
 from graphloom.operators import analytics as A
 from graphloom.operators import propagation as P
-from graphloom.storage import shared_dir
+from graphloom.storage import discard, files, materialise, shared_dir
 
 
 def shuffled(spark):
@@ -68,6 +69,51 @@ def test_many_blocks_against_python(spark, monkeypatch):
         assert {r.id: r.label for r in got.collect()} == by_hand(ids, edges, rounds)
 
 
+def test_parts_and_slices_leave_room_for_the_next(spark, monkeypatch):
+    """A part's exchanges are gone before the next part is read; no exchange takes all pairs at once, and what a slice came from goes."""
+    monkeypatch.setattr(P, "BLOCK_NODES", 50)
+    monkeypatch.setattr(P, "SLICED", 100, raising=False)
+    ids, edges = random_graph(230, 700, 3)
+    symbols, every = frames(spark, ids, edges)
+    apart = every.repartition(8, "src", "tgt")
+    before, seen = shuffled(spark), []
+    work = os.path.join(shared_dir(spark).removeprefix("file://"), "work")
+    os.makedirs(work, exist_ok=True)
+    old = set(os.listdir(work))
+
+    def parts(tag):
+        return sum(f.startswith("part-") for t in set(os.listdir(work)) - old if t.startswith(tag) for f in os.listdir(f"{work}/{t}"))
+
+    def watched(df, tag, release=False):
+        ends = time.time() + 10
+        while tag == "pairs" and shuffled(spark) - before and time.time() < ends:  # deleted in the background
+            time.sleep(0.1)
+        seen.append((tag, len(shuffled(spark) - before), parts("pairs"), parts("half")))
+        if tag == "table":
+            before.update(shuffled(spark))
+        return materialise(df, tag, release)
+
+    monkeypatch.setattr(P, "materialise", watched)
+    got = A.label_propagation(symbols, [apart.where("src < 'b'"), apart.where("src >= 'b' or src is null")], 3)
+    assert {r.id: r.label for r in got.collect()} == by_hand(ids, edges, 3)
+    assert [s[1] for s in seen if s[0] == "pairs"] == [0, 0]
+    halves = [s[2] for s in seen if s[0] == "half"]
+    assert len(halves) > 1 and sorted(halves, reverse=True) == halves and halves[-1] < halves[0] / 2
+    assert all(s[2] < halves[0] for s in seen if s[0] == "links") and not any(s[3] for s in seen if s[0] in ("half", "labels"))
+    assert not parts("pairs")
+
+
+def test_discard_of_some_files(spark):
+    table = materialise(spark.range(0, 40, 1, 4), "some files")
+    paths = files(table)
+    kept = spark.read.parquet(*paths[1:])
+    discard(spark.read.parquet(paths[0]))
+    assert len(paths) == 4 and kept.count() == 30
+    folder = paths[0].rsplit("/", 1)[0].removeprefix("file:")
+    discard(kept)
+    assert not os.path.exists(folder)
+
+
 def test_without_nodes_or_edges(spark):
     symbols, edges = frames(spark, ["a", "b"], [("x", "y")])
     assert A.label_propagation(symbols.limit(0), edges, 3).collect() == []
