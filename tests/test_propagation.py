@@ -125,3 +125,26 @@ def test_packed_numbers():
     for x in ([], [0], [255, 256], [3, 2**32 - 1], [2**64 - 1, 0]):
         x = np.array(x, np.uint64)
         assert P.unpack(P.pack(x)).tolist() == x.tolist() and P.unpack_sorted(P.pack_sorted(np.sort(x))).tolist() == sorted(x.tolist())
+
+
+def test_dealt_numbers_small_and_large():
+    """Numbers that fit into one of 64 bits together, just fit, and do not."""
+    r = np.random.default_rng(4)
+    for bits, wide, blocks in ((10, 8, 3), (58, 6, 1), (40, 24, 7), (40, 25, 7), (64, 64, 5), (1, 1, 2), (64, 1, 1)):
+        key, value = (r.integers(0, 2**b - 1, 500, np.uint64, endpoint=True) for b in (bits, wide))
+        got = []
+        for batch in P._deal(key, value, blocks, 1):
+            ((p, kind, n, x, y, _),) = P._rows([batch])
+            x, y = P.unpack_sorted(x), P.unpack(y)
+            assert kind == 1 and n == len(x) == len(y) and (np.diff(x.astype(object)) >= 0).all()
+            got += [(int(a) * blocks + p, int(b)) for a, b in zip(x, y)]
+        assert sorted(got) == sorted(zip(key.tolist(), value.tolist()))
+
+
+def test_votes_beyond_16_bits(spark):
+    """So many parallel edges that they outvote what more different neighbours say."""
+    symbols, _ = frames(spark, ["a", "b", "c", "d"], [("a", "b")])
+    ends = "src string, tgt string"
+    edges = spark.range(70_000).selectExpr("'c' as src", "'d' as tgt").union(spark.createDataFrame([("a", "c"), ("b", "c"), ("b", "d")], ends))
+    got = A.label_propagation(symbols, edges, 1)
+    assert {r.id: r.label for r in got.collect()} == {"a": "a", "b": "b", "c": "d", "d": "c"}
