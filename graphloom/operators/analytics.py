@@ -55,7 +55,7 @@ def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DA
 def label_propagation(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """id, label: every symbol takes the commonest label among its neighbours and itself, the smallest of equals, all at once.
 
-    The vote for oneself keeps bipartite parts from swapping labels for ever. Stops when nothing changes, or after ``rounds``.
+    The result is that of ``rounds`` rounds; of those that would only repeat labels, or swap them to and fro, none is run.
     Edges may come in parts, which are read one after another, so that the room each needs on disk is free before the next.
     """
     return propagate(symbols, edges, rounds)

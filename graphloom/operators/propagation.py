@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, files, materialise
+from ..storage import discard, files, materialise, released
 
 #: Nodes and links of a block, about.
 BLOCK_NODES, BLOCK_LINKS = 65_536, 2_000_000
@@ -137,7 +137,9 @@ def _numbered(symbols: DataFrame) -> tuple[DataFrame, int]:
     placed = materialise(ids.select("id", F.monotonically_increasing_id().alias("m")), "nodes", release=True)
     part, row = F.shiftrightunsigned("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     first, total = [], 0
-    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row for each partition of the sort
+    with released(symbols.sparkSession):
+        counts = placed.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row for each partition of the sort
+    for r in counts:
         first.append((r["part"], total))
         total += r["count"]
     offsets = symbols.sparkSession.createDataFrame(first, "part long, first long")
@@ -154,12 +156,14 @@ def _links(nodes: DataFrame, total: int, parts: list[DataFrame]) -> tuple[DataFr
     """The links as packed rows, in how many blocks, of how many nodes at most. Edges with an end that is no node are left out."""
     hash_blocks, seed = -(-total // BLOCK_NODES), 0
     hashed = lambda c: F.xxhash64(F.col(c), F.lit(seed))
-    while nodes.select(hashed("id").alias("h")).distinct().count() < total:  # two ids with one hash
-        seed += 1
+    with released(nodes.sparkSession):
+        while nodes.select(hashed("id").alias("h")).distinct().count() < total:  # two ids with one hash
+            seed += 1
     table = materialise(_dealt(nodes.select(hashed("id"), "n"), hash_blocks, 0), "table", release=True)
     ends = [p.where("src is not null and tgt is not null").select(hashed("src"), hashed("tgt")) for p in parts]
     pairs = reduce(DataFrame.union, [materialise(_dealt(e, hash_blocks, 1), "pairs", release=True) for e in ends])
-    count = pairs.agg(F.sum("n")).first()[0] or 0
+    with released(nodes.sparkSession):
+        count = pairs.agg(F.sum("n")).first()[0] or 0
     blocks = max(hash_blocks, -(-2 * count // BLOCK_LINKS))
     places = -(-total // blocks)
 
@@ -278,9 +282,18 @@ def _round(links: DataFrame, labels: DataFrame, blocks: int, places: int) -> Dat
     return _by_block(sent, blocks).mapInArrow(receive, PACKED)
 
 
+def _differ(new: DataFrame, *earlier: DataFrame) -> list[bool]:
+    """Whether a node's label is another one than in each of the earlier rounds."""
+    held = reduce(DataFrame.union, [e.select("p", F.lit(i).alias("i"), F.col("x").alias("old")) for i, e in enumerate(earlier)])
+    with released(new.sparkSession):
+        found = {r["i"] for r in new.join(held, "p").where("x <> old").select("i").distinct().collect()}
+    return [i in found for i in range(len(earlier))]
+
+
 def propagate(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: int) -> DataFrame:
-    """id, label after ``rounds`` rounds, or as many as change something.
+    """id, label after ``rounds`` rounds.
 
+    Once a round gives the labels of the last one or of the one before it, all later rounds repeat these, so none of them is run.
     Edges given in parts are read one part after another; what a part's exchanges leave on disk goes before the next.
     A block's links go through memory in parts, but all different labels that its nodes hear in a round are held at once. At most
     2^32 - 1 nodes. Ids are told apart by 64-bit hashes, which are checked to differ among symbols; an edge end that is no symbol
@@ -292,13 +305,17 @@ def propagate(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: in
     links, blocks, places = _links(nodes, total, edges if isinstance(edges, list) else [edges])
     if blocks * places >= 1 << 32:
         raise ValueError("more nodes than labels of 32 bits can tell apart")
-    labels = _first(links, blocks, total)
-    for _ in range(rounds):
-        new = materialise(_round(links, labels, blocks, places), "labels", release=True)
-        changed = not new.join(labels, ["p", "x"], "left_anti").isEmpty()
-        labels = new
-        if not changed:
+    past = [_first(links, blocks, total)]
+    for left in reversed(range(rounds)):
+        new = materialise(_round(links, past[-1], blocks, places), "labels", release=True)
+        differ = _differ(new, *past)
+        past.append(new)
+        if not all(differ):
             break
+        for old in past[:-2]:
+            discard(old)
+        past = past[-2:]
+    labels = past[-2] if differ[-1] and left % 2 else past[-1]  # the last two take turns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, _, n, x, *_ in _rows(batches):
@@ -307,5 +324,6 @@ def propagate(symbols: DataFrame, edges: DataFrame | list[DataFrame], rounds: in
     found = labels.mapInArrow(run, "n long, m long").join(nodes, "n")
     named = found.join(nodes.select(F.col("id").alias("label"), F.col("n").alias("m")), "m").select("id", "label")
     out = materialise(named, "labels", release=True)
-    discard(links)
+    for done in (links, *past):
+        discard(done)
     return out

@@ -172,9 +172,9 @@ def _(spark, d):
     return A.label_propagation(symbols(spark, d), edge_parts(spark, d), 6)
 
 
-@query("clusters", _lpa_sql().replace(" SELECT id, label FROM l6", ", g AS (SELECT label, row_number() OVER (ORDER BY min(id)) AS cluster_id FROM l6 GROUP BY label HAVING count(*) >= 3) SELECT id, coalesce(cluster_id, 0)::INTEGER AS cluster_id FROM l6 LEFT JOIN g USING (label)"))
+@query("clusters", _lpa_sql(A.ROUNDS).replace(f" SELECT id, label FROM l{A.ROUNDS}", f", g AS (SELECT label, row_number() OVER (ORDER BY min(id)) AS cluster_id FROM l{A.ROUNDS} GROUP BY label HAVING count(*) >= 3) SELECT id, coalesce(cluster_id, 0)::INTEGER AS cluster_id FROM l{A.ROUNDS} LEFT JOIN g USING (label)"))
 def _(spark, d):
-    return A.clusters(symbols(spark, d), edge_parts(spark, d), 6)
+    return A.clusters(symbols(spark, d), edge_parts(spark, d))
 
 
 @query("suffix_resolve", f"""WITH {SYMBOLS}, refs AS (SELECT DISTINCT n_name || '.' || c_name AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT c_name FROM customer UNION SELECT n_name FROM nation UNION SELECT 'no.such'),

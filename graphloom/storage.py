@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -35,20 +37,26 @@ def work_path(spark: SparkSession, tag: str) -> str:
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is made and run in here are deleted as soon as it is done."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
 def materialise(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: its lineage ends there, and no lost executor takes it along.
 
     With ``release`` the shuffle files of the writing are deleted as soon as it is done.
     """
     spark = df.sparkSession
-    path, before = work_path(spark, tag), spark.conf.get(RELEASE, None)
-    if release:
-        spark.conf.set(RELEASE, "true")
-    try:
+    path = work_path(spark, tag)
+    with released(spark) if release else contextlib.nullcontext():
         df.write.option("compression", "lz4").parquet(path)
-    finally:
-        if release:
-            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,9 +4,11 @@ import os
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from graphloom.operators import analytics as A
 from graphloom.operators import propagation as P
 from graphloom.storage import discard, files, materialise, shared_dir
@@ -148,3 +150,49 @@ def test_votes_beyond_16_bits(spark):
     edges = spark.range(70_000).selectExpr("'c' as src", "'d' as tgt").union(spark.createDataFrame([("a", "c"), ("b", "c"), ("b", "d")], ends))
     got = A.label_propagation(symbols, edges, 1)
     assert {r.id: r.label for r in got.collect()} == {"a": "a", "b": "b", "c": "d", "d": "c"}
+
+
+def test_registered_clusters_take_all_rounds(spark, tmp_path):
+    """Sparse tables, whose labels still move after six rounds, and after twelve."""
+    n, r = 100, random.Random(0)
+    lines = [(i, r.randrange(n), r.randrange(n)) for i in range(n) for _ in range(4)]
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'R' AS r_name",
+        "nation": f"SELECT i AS n_nationkey, 'N' || i AS n_name, 0 AS n_regionkey FROM range({n}) t(i)",
+        "customer": f"SELECT i AS c_custkey, 'C' || i AS c_name, i AS c_nationkey, 'M' AS c_mktsegment FROM range({n}) t(i)",
+        "supplier": f"SELECT i AS s_suppkey, 'S' || i AS s_name, i AS s_nationkey FROM range({n}) t(i)",
+        "part": f"SELECT i AS p_partkey, 'P' AS p_name, 'B' AS p_brand, 'T' AS p_type FROM range({n}) t(i)",
+        "orders": f"SELECT i AS o_orderkey, i AS o_custkey FROM range({n}) t(i)",
+        "lineitem": f"SELECT *, 1.0::DOUBLE AS l_quantity FROM (VALUES {', '.join(map(str, lines))}) t(l_orderkey, l_partkey, l_suppkey)",
+    }
+    con = duckdb.connect()
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = {r.id: r.cluster_id for r in entry.queries()["clusters"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(entry.oracle_sql()["clusters"]).fetchall())
+    ids = ["R:0", *(f"{k}:{i}" for k in "NCSP" for i in range(n))]
+    edges = {(f"N:{i}", "R:0") for i in range(n)} | {(f"{k}:{i}", f"N:{i}") for k in "CS" for i in range(n)}
+    edges |= {e for c, p, s in lines for e in ((f"C:{c}", f"P:{p}"), (f"P:{p}", f"S:{s}"))}
+
+    def numbered(label):
+        members = {}
+        for i in ids:
+            members.setdefault(label[i], []).append(i)
+        first = sorted(min(m) for m in members.values() if len(m) >= 3)
+        return {i: first.index(min(m)) + 1 if len(m) >= 3 else 0 for m in members.values() for i in m}
+
+    assert got == numbered(by_hand(ids, edges, 20))
+    assert all(got != numbered(by_hand(ids, edges, few)) for few in (6, 12))
+
+
+@pytest.mark.parametrize("rounds", [19, 20])
+def test_labels_that_come_back_are_not_computed_again(spark, monkeypatch, rounds):
+    """Two ends of parallel edges swap labels for ever; a chain beside them settles first."""
+    ids = ["a", "b", *(f"c{i}" for i in range(8))]
+    edges = [("a", "b")] * 2 + [(f"c{i}", f"c{i + 1}") for i in range(7)]
+    runs = []
+    monkeypatch.setattr(P, "materialise", lambda df, tag, release=False: runs.append(tag) or materialise(df, tag, release))
+    got = {r.id: r.label for r in A.label_propagation(*frames(spark, ids, edges), rounds).collect()}
+    assert got == by_hand(ids, edges, rounds) and got["a"] == "ab"[rounds % 2]
+    assert runs.count("labels") < 12
